@@ -6,6 +6,7 @@ import importlib
 
 MODULES = [
     "upkeep.plans.q_labels",
+    "upkeep.plans.q_prep",
 ]
 
 
