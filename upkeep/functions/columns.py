@@ -73,6 +73,12 @@ def r6(c: Column) -> Column:
     return F.round(c, 6)
 
 
+def r6d(c: Column) -> Column:
+    """Round to 6 decimals through DECIMAL(38,10): float noise in the last bits
+    (summation order) cannot flip a value that sits exactly on a tie."""
+    return F.round(c.try_cast("decimal(38,10)"), 6).cast("double")
+
+
 def md5_order(seed: int, key: str | Column) -> Column:
     """Deterministic pseudo-random order key: md5('<seed>:<key>')."""
     return F.md5(F.concat(F.lit(f"{seed}:"), col_(key).cast("string")))

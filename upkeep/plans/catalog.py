@@ -7,6 +7,7 @@ import importlib
 MODULES = [
     "upkeep.plans.q_labels",
     "upkeep.plans.q_prep",
+    "upkeep.plans.q_features",
 ]
 
 

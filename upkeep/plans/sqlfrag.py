@@ -36,3 +36,7 @@ def to_double(x: str) -> str:
 def parse_ts(x: str) -> str:
     s = strip(x)
     return "coalesce(" + ", ".join(f"try_strptime({s}, '{f}')" for f in STRPTIME_FORMATS) + ")"
+
+
+def r6d(x: str) -> str:
+    return f"CAST(round(TRY_CAST({x} AS DECIMAL(38,10)), 6) AS DOUBLE)"
