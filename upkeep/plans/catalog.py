@@ -8,6 +8,7 @@ MODULES = [
     "upkeep.plans.q_labels",
     "upkeep.plans.q_prep",
     "upkeep.plans.q_features",
+    "upkeep.plans.q_model",
 ]
 
 
