@@ -9,6 +9,7 @@ MODULES = [
     "upkeep.plans.q_prep",
     "upkeep.plans.q_features",
     "upkeep.plans.q_model",
+    "upkeep.plans.q_serving",
 ]
 
 
