@@ -11,6 +11,7 @@ MODULES = [
     "upkeep.plans.q_model",
     "upkeep.plans.q_serving",
     "upkeep.plans.q_sources",
+    "upkeep.plans.q_train",
 ]
 
 
