@@ -3,6 +3,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column
@@ -36,7 +37,7 @@ def nan_to_null(c: str | Column) -> Column:
     return F.when(F.isnan(c), F.lit(None).cast("double")).otherwise(c)
 
 
-def to_double(c: str | Column, dtype: str = "string") -> Column:
+def to_double(c: str | Column, dtype: str = "string", stripped: bool = False) -> Column:
     """Unparseable → NULL, NaN → NULL. ``dtype`` is the input column's type name."""
     c = col_(c)
     if dtype in ("double", "float", "bigint", "int", "smallint", "tinyint") or dtype.startswith("decimal"):
@@ -44,19 +45,47 @@ def to_double(c: str | Column, dtype: str = "string") -> Column:
     if dtype == "boolean":
         return c.cast("int").cast("double")
     s = c.cast("string")
-    parsed = F.when(s.rlike(NUMBER_PATTERN), strip_ws(s).try_cast("double"))
+    parsed = F.when(s.rlike(NUMBER_PATTERN), (s if stripped else strip_ws(s)).try_cast("double"))
     return nan_to_null(parsed)
 
 
-def parse_timestamp(c: str | Column, dtype: str = "string", formats: Iterable[str] = DATE_FORMATS) -> Column:
-    """Mixed-format date parsing: each value takes the first format that fits."""
+def format_guard(fmt: str) -> str:
+    """A permissive regex of a datetime pattern's shape (letter runs → digits,
+    quoted text and separators literal). Values that cannot match skip the
+    parse attempt, which is expensive when it fails."""
+    out, i = ["^"], 0
+    while i < len(fmt):
+        ch = fmt[i]
+        if ch == "'":
+            j = fmt.index("'", i + 1)
+            out.append(re.escape(fmt[i + 1:j]))
+            i = j + 1
+        elif ch.isalpha():
+            j = i
+            while j < len(fmt) and fmt[j] == ch:
+                j += 1
+            out.append(r"\d+")
+            i = j
+        else:
+            out.append(re.escape(ch))
+            i += 1
+    out.append("$")
+    return "".join(out)
+
+
+def parse_timestamp(c: str | Column, dtype: str = "string", formats: Iterable[str] = DATE_FORMATS,
+                    stripped: bool = False) -> Column:
+    """Mixed-format date parsing: each value takes the first format that fits.
+    ``stripped``: the input is already whitespace-stripped (strip once in a
+    projection below, instead of once per format attempt)."""
     c = col_(c)
     if dtype in ("timestamp_ntz",):
         return c
     if dtype in ("timestamp", "date"):
         return c.cast("timestamp_ntz")
-    s = strip_ws(c.cast("string"))
-    return F.coalesce(*[F.try_to_timestamp(s, F.lit(fmt)) for fmt in formats]).cast("timestamp_ntz")
+    s = c.cast("string") if stripped else strip_ws(c.cast("string"))
+    tries = [F.when(s.rlike(format_guard(fmt)), F.try_to_timestamp(s, F.lit(fmt))) for fmt in formats]
+    return F.coalesce(*tries).cast("timestamp_ntz")
 
 
 def micros(ts: str | Column) -> Column:

@@ -7,15 +7,18 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from upkeep.functions.columns import clean_text, parse_timestamp, to_double
+from upkeep.functions.columns import clean_text, parse_timestamp, strip_ws, to_double
 from upkeep.operators.profile import missingness
 from upkeep.schema import COMPLIANCE_FIELDS, DATE_FIELDS, TEXT_FIELDS, UNKNOWN_LABEL
 
 
 def clean(df: DataFrame) -> DataFrame:
-    """C1-C3 in one projection: strip + null tokens for text fields, guarded
-    numeric coercion for compliance fields, mixed-format dates."""
+    """Strip + null tokens for text fields, guarded numeric coercion for
+    compliance fields, mixed-format dates (date text stripped once in a
+    projection below, then parsed)."""
     types = dict(df.dtypes)
+    pre = [strip_ws(F.col(c)).alias(c) if c in DATE_FIELDS and types[c] == "string" else F.col(c) for c in df.columns]
+    df = df.select(*pre)
     out = []
     for c in df.columns:
         if c in TEXT_FIELDS:
@@ -23,7 +26,7 @@ def clean(df: DataFrame) -> DataFrame:
         elif c in COMPLIANCE_FIELDS:
             out.append(to_double(F.col(c), types[c]).alias(c))
         elif c in DATE_FIELDS:
-            out.append(parse_timestamp(F.col(c), types[c]).alias(c))
+            out.append(parse_timestamp(F.col(c), types[c], stripped=True).alias(c))
         else:
             out.append(F.col(c))
     return df.select(*out)

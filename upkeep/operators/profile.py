@@ -12,7 +12,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from upkeep.functions.columns import clean_text, parse_timestamp, to_double
+from upkeep.functions.columns import clean_text, parse_timestamp, strip_ws, to_double
 from upkeep.schema import DATE_NAME_PATTERN, ID_NAME_PATTERN, MAX_INSPECT_ROWS, PREVIEW_ROWS
 
 NUMERIC_NAMES = ("double", "float", "bigint", "int", "smallint", "tinyint")
@@ -35,15 +35,25 @@ def _lit_str_array(values: list[str]) -> Column:
 
 
 # ------------------------------------------------------------------ P2
+def stripped_view(df: DataFrame) -> DataFrame:
+    """Adds ``__t<i>`` = whitespace-stripped text of every string column, so the
+    parse attempts below read one stripped value instead of re-stripping."""
+    types = dtypes(df)
+    extra = [strip_ws(F.col(f"`{c}`")).alias(f"__t{i}") for i, c in enumerate(df.columns) if types[c] == "string"]
+    return df.select("*", *extra)
+
+
 def dtype_class_aggs(df: DataFrame) -> list[Column]:
-    """Per column: n non-null, n numeric-parseable, n datetime-parseable."""
+    """Per column: n non-null, n numeric-parseable, n datetime-parseable.
+    Evaluate on ``stripped_view(df)``."""
     types = dtypes(df)
     aggs = []
     for i, c in enumerate(df.columns):
-        t, x = types[c], F.col(c)
+        t, x = types[c], F.col(f"`{c}`")
+        s = F.col(f"__t{i}") if t == "string" else x
         aggs.append(F.count(x).alias(f"__nn{i}"))
-        aggs.append(F.count(to_double(x, t)).alias(f"__num{i}"))
-        aggs.append(F.count(parse_timestamp(x, t)).alias(f"__dt{i}"))
+        aggs.append(F.count(to_double(s, t, stripped=True)).alias(f"__num{i}"))
+        aggs.append(F.count(parse_timestamp(s, t, stripped=True)).alias(f"__dt{i}"))
     return aggs
 
 
@@ -61,7 +71,7 @@ def _dtype_class(i: int, t: str) -> Column:
 def infer_dtypes(df: DataFrame) -> DataFrame:
     """``(column_name, ordinal, dtype)`` with dtype in empty/numeric/datetime/text."""
     types = dtypes(df)
-    wide = df.agg(*dtype_class_aggs(df))
+    wide = stripped_view(df).agg(*dtype_class_aggs(df))
     rows = [
         F.struct(F.lit(c).alias("column_name"), F.lit(i).alias("ordinal"), _dtype_class(i, types[c]).alias("dtype"))
         for i, c in enumerate(df.columns)
@@ -107,7 +117,7 @@ def column_profile(df: DataFrame) -> DataFrame:
     cols = df.columns
     types = dtypes(df)
     text = {c: F.col(c).cast("string") for c in cols}
-    p1 = df.agg(
+    p1 = stripped_view(df).agg(
         F.count(F.lit(1)).alias("__n"),
         *dtype_class_aggs(df),
         *[F.min(text[c]).alias(f"__s1_{i}") for i, c in enumerate(cols)],
@@ -162,7 +172,7 @@ def detect_datetime(df: DataFrame, threshold: float = 0.8) -> DataFrame:
     → no; date-like name → yes; else parse rate over *all* non-null values >
     ``threshold`` (the full-table version of a 200-value sample)."""
     types = dtypes(df)
-    wide = df.agg(*dtype_class_aggs(df))
+    wide = stripped_view(df).agg(*dtype_class_aggs(df))
     rows = []
     for i, c in enumerate(df.columns):
         t = types[c]
