@@ -12,6 +12,7 @@ MODULES = [
     "upkeep.plans.q_serving",
     "upkeep.plans.q_sources",
     "upkeep.plans.q_train",
+    "upkeep.plans.q_streaming",
 ]
 
 
