@@ -159,3 +159,32 @@ def test_signal_requires_variance(spark):
     df = spark.createDataFrame([(None, 1.0), (None, 2.0)], "a double, b double")
     res = {r["column_name"]: r["has_signal"] for r in L.signal_test(df, ["a", "b"]).collect()}
     assert res == {"a": False, "b": True}
+
+
+def test_append_unique_is_lazy_and_rejects_duplicates(spark):
+    from upkeep.operators.serving import append_unique
+
+    table = spark.createDataFrame([("a", 1), ("b", 2)], "id string, v int")
+    ok = append_unique(table, spark.createDataFrame([("c", 3)], "id string, v int"), "id")
+    assert sorted(r["id"] for r in ok.collect()) == ["a", "b", "c"]
+    bad = append_unique(table, spark.createDataFrame([("b", 9), ("d", 4)], "id string, v int"), "id")
+    with pytest.raises(Exception, match="duplicate id: b"):
+        bad.collect()
+
+
+def test_exact_percentiles_skewed_multi_column(spark):
+    from pyspark.sql import functions as F
+
+    from upkeep.operators.positions import exact_percentiles
+
+    rows = [(7.0 if i % 3 == 0 else float((i * 37) % 51), None if i % 5 == 0 else ((i * 7919) % 1000) / 997.0)
+            for i in range(3000)]
+    df = spark.createDataFrame(rows, "a double, b double")
+    probs = [0.0, 0.25, 0.5, 0.9, 1.0]
+    names = [[f"{c}{j}" for j in range(len(probs))] for c in "ab"]
+    got = exact_percentiles(df, ["a", "b"], probs, names).first()
+    ref = df.agg(*[F.percentile(c, F.array(*[F.lit(p) for p in probs])).alias(c) for c in "ab"]).first()
+    for ci, c in enumerate("ab"):
+        for j in range(len(probs)):
+            assert got[names[ci][j]] == pytest.approx(ref[c][j], abs=1e-12)
+    assert exact_percentiles(df.where("a < 0"), ["a"], [0.5], [["m"]]).first()["m"] is None

@@ -107,22 +107,26 @@ def fit_thresholds(scores: DataFrame, score_col: str = "priority_score", watch_p
                    high_pct: float = 90.0, method: str = "exact") -> DataFrame:
     """One-row ``(watch_threshold, high_threshold)``: linear-interpolated percentiles.
 
-    ``exact`` = ``percentile`` (partial aggregation of value counts);
-    ``positional`` = exact order statistics through ``global_position`` (no
-    single-reducer value map, for data with very many distinct scores);
+    ``exact`` (default) and ``positional`` = order statistics over distributed
+    running counts of the distinct scores (``positions.exact_percentiles``):
+    lazy, and safe for any number of distinct scores or a hot score;
+    ``aggregate`` = Spark's ``percentile`` (its value→count map is merged in one
+    task, so only for low-cardinality scores);
     ``approx`` = ``percentile_approx`` with a 1e-4 relative rank error.
     """
     if watch_pct >= high_pct:
         raise ValueError("watch_percentile must be less than high_percentile")
     probs = [watch_pct / 100.0, high_pct / 100.0]
-    if method == "positional":
+    if method in ("exact", "positional"):
         from upkeep.operators.positions import exact_quantiles
 
         return exact_quantiles(scores, score_col, probs, ["watch_threshold", "high_threshold"])
     if method == "approx":
         q = F.percentile_approx(score_col, probs, 10000)
-    else:
+    elif method == "aggregate":
         q = F.percentile(F.col(score_col), F.array(*[F.lit(p) for p in probs]))
+    else:
+        raise ValueError(f"unknown method {method}")
     return scores.agg(q.alias("q")).select(
         F.col("q")[0].alias("watch_threshold"), F.col("q")[1].alias("high_threshold")
     )

@@ -113,25 +113,56 @@ def group_sizes(df: DataFrame, group_cols: list[str], out: str = "group_n") -> D
     return df.join(df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias(out)), group_cols)
 
 
+def exact_percentiles(df: DataFrame, columns: list[str], probs: list[float],
+                      names: list[list[str]]) -> DataFrame:
+    """One-row frame of exact, linearly interpolated percentiles (the rule of
+    ``percentile``: h = (n-1)·p, value = a + (h - floor h)·(b - a)) for several
+    columns at once; ``names[i][j]`` = column ``i`` at ``probs[j]``. NULLs are
+    ignored; an all-NULL column gives NULL.
+
+    Lazy, and no task ever holds more than its share of the values:
+
+    1. one ``(column, value, count)`` row per distinct value; map-side partial
+       aggregation collapses a hot value before the shuffle;
+    2. running counts per column over the distinct values (``prefix_sums``:
+       range partitions plus broadcast per-partition offsets);
+    3. the order statistics at positions floor(h)+1 and ceil(h)+1 are the rows
+       whose count interval covers them, found by joining a broadcast table of
+       #columns × #probs targets (its size is fixed by the arguments).
+    """
+    cells = [F.struct(F.lit(i).alias("__c"), F.col(c).cast("double").alias("__v")) for i, c in enumerate(columns)]
+    if len(cells) == 1:
+        long = df.select(cells[0].alias("__r")).select("__r.*")
+    else:
+        long = df.select(F.explode(F.array(*cells)).alias("__r")).select("__r.*")
+    per = long.where(F.col("__v").isNotNull()).groupBy("__c", "__v").agg(F.count(F.lit(1)).alias("__k"))
+    cum = prefix_sums(per, [F.col("__v")], {"k": F.col("__k")}, group_cols=["__c"], pos="__rank")
+    prob_rows = F.array(*[F.struct(F.lit(j).alias("__j"), F.lit(float(p)).alias("__p")) for j, p in enumerate(probs)])
+    tgt = cum.groupBy("__c").agg(F.max("cum_k").alias("__n")).select("__c", "__n", F.explode(prob_rows).alias("__t"))
+    h = (F.col("__n") - 1).cast("double") * F.col("__t.__p")
+    tgt = tgt.select("__c", F.col("__t.__j").alias("__j"), h.alias("__h"), F.floor(h).alias("__lo"),
+                     F.ceil(h).alias("__hi"))
+
+    def covers(pos: Column) -> Column:  # row holds positions (cum_k - k, cum_k]
+        return (pos > F.col("cum_k") - F.col("__k")) & (pos <= F.col("cum_k"))
+
+    lo_pos, hi_pos = F.col("__lo") + 1, F.col("__hi") + 1
+    hit = cum.select("__c", "__v", "__k", "cum_k").join(F.broadcast(tgt), "__c").where(
+        covers(lo_pos) | covers(hi_pos))
+    picked = hit.groupBy("__c", "__j").agg(
+        F.max(F.when(covers(lo_pos), F.col("__v"))).alias("__a"),
+        F.max(F.when(covers(hi_pos), F.col("__v"))).alias("__b"),
+        F.max("__h").alias("__h"), F.max("__lo").alias("__lo"), F.max("__hi").alias("__hi"))
+    a, b, hh = F.col("__a"), F.col("__b"), F.col("__h")
+    value = F.when(F.col("__lo") == F.col("__hi"), a).otherwise(
+        (F.col("__hi") - hh) * a + (hh - F.col("__lo")) * b)
+    picked = picked.select("__c", "__j", value.alias("__q"))
+    return picked.agg(*[
+        F.max(F.when((F.col("__c") == i) & (F.col("__j") == j), F.col("__q"))).alias(names[i][j])
+        for i in range(len(columns)) for j in range(len(probs))
+    ])
+
+
 def exact_quantiles(df: DataFrame, col: str, probs: list[float], names: list[str]) -> DataFrame:
-    """Linear-interpolated quantiles (same rule as ``percentile``) from order
-    statistics: count, positions, then only the ≤2 rows per quantile."""
-    vals = df.select(F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull())
-    n = vals.count()
-    spark = df.sparkSession
-    if n == 0:
-        return spark.createDataFrame([tuple([None] * len(names))], ", ".join(f"{m} double" for m in names))
-    need = set()
-    plan = []
-    for p in probs:
-        h = (n - 1) * p
-        lo, hi = int(h // 1), int(-(-h // 1))
-        plan.append((h, lo, hi))
-        need |= {lo + 1, hi + 1}
-    posd = global_position(vals, [F.col("v")], out="pos")
-    picked = {r["pos"]: r["v"] for r in posd.where(F.col("pos").isin(sorted(need))).collect()}
-    row = []
-    for h, lo, hi in plan:
-        a, b = picked[lo + 1], picked[hi + 1]
-        row.append(a if lo == hi else (hi - h) * a + (h - lo) * b)
-    return spark.createDataFrame([tuple(row)], ", ".join(f"{m} double" for m in names))
+    """One column: ``exact_percentiles`` with output names ``names``."""
+    return exact_percentiles(df, [col], probs, [names])

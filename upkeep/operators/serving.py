@@ -62,12 +62,14 @@ def active_model(versions: DataFrame, dataset_col: str = "dataset_id") -> DataFr
 
 
 def append_unique(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    """Append ``rows``; a key that already exists is an error (checked with one
-    semi join that returns at most one row)."""
-    dup = rows.join(table.select(key), key, "left_semi").limit(1).collect()
-    if dup:
-        raise ValueError(f"duplicate {key}: {dup[0][key]}")
-    return table.unionByName(rows)
+    """Append ``rows``; a key that already exists fails the job. The check is
+    part of the same plan: a semi join reduced to a one-row (count, smallest
+    key) guard, cross-joined onto the appended rows, raises on a duplicate."""
+    dup = rows.join(table.select(key), key, "left_semi").agg(
+        F.count(F.lit(1)).alias("__dups"), F.min(key).cast("string").alias("__dup"))
+    fail = F.raise_error(F.concat(F.lit(f"duplicate {key}: "), F.col("__dup")))
+    guarded = rows.crossJoin(F.broadcast(dup)).where(F.when(F.col("__dups") > 0, fail).otherwise(F.lit(True)))
+    return table.unionByName(guarded.drop("__dups", "__dup"))
 
 
 # ------------------------------------------------------------------ A10
