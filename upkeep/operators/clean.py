@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from upkeep.functions.columns import clean_text, parse_timestamp, strip_ws, to_double
-from upkeep.operators.positions import exact_percentiles
+from upkeep.operators.positions import exact_percentiles, fitted_row
 from upkeep.operators.profile import missingness
 from upkeep.schema import COMPLIANCE_FIELDS, DATE_FIELDS, TEXT_FIELDS, UNKNOWN_LABEL
 
@@ -60,7 +60,7 @@ def iqr_bounds(df: DataFrame, columns: list[str]) -> DataFrame:
 def iqr_outlier_flags(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Adds ``<col>_outlier`` booleans; NULL never flagged; rows never removed."""
     columns = columns or [c for c in COMPLIANCE_FIELDS if c in df.columns]
-    b = iqr_bounds(df, columns)
+    b = fitted_row(iqr_bounds(df, columns))
     j = df.crossJoin(F.broadcast(b))
     for c in columns:
         x = F.col(c)

@@ -152,8 +152,10 @@ def classify_risk(df: DataFrame, thresholds: DataFrame, score_col: str = "priori
 
 def label_snapshot(df: DataFrame, weights: dict[str, float] | None = None, method: str = "exact") -> DataFrame:
     """Score → thresholds fitted on the same frame → level → 0/1 ``label``."""
+    from upkeep.operators.positions import fitted_row
+
     scored = priority_score(df, weights)
-    th = fit_thresholds(scored, method=method)
+    th = fitted_row(fit_thresholds(scored, method=method))
     lab = apply_thresholds(scored, th)
     return lab.withColumn("label", (F.col("intervention_priority") == HIGH).cast("int"))
 

@@ -124,11 +124,12 @@ def exact_percentiles(df: DataFrame, columns: list[str], probs: list[float],
 
     1. one ``(column, value, count)`` row per distinct value; map-side partial
        aggregation collapses a hot value before the shuffle;
-    2. running counts per column over the distinct values (``prefix_sums``:
-       range partitions plus broadcast per-partition offsets);
-    3. the order statistics at positions floor(h)+1 and ceil(h)+1 are the rows
-       whose count interval covers them, found by joining a broadcast table of
-       #columns × #probs targets (its size is fixed by the arguments).
+    2. that table is range-partitioned and sorted by (column, value) once
+       (persisted); per-partition totals give each partition's span of global
+       positions, per-column totals each column's start;
+    3. the ≤ 2 order statistics per quantile lie in a handful of partitions,
+       found with a table of #columns × #probs targets (size fixed by the
+       arguments); running counts are taken only inside those partitions.
     """
     cells = [F.struct(F.lit(i).alias("__c"), F.col(c).cast("double").alias("__v")) for i, c in enumerate(columns)]
     if len(cells) == 1:
@@ -136,22 +137,42 @@ def exact_percentiles(df: DataFrame, columns: list[str], probs: list[float],
     else:
         long = df.select(F.explode(F.array(*cells)).alias("__r")).select("__r.*")
     per = long.where(F.col("__v").isNotNull()).groupBy("__c", "__v").agg(F.count(F.lit(1)).alias("__k"))
-    cum = prefix_sums(per, [F.col("__v")], {"k": F.col("__k")}, group_cols=["__c"], pos="__rank")
+    tagged = _sorted_tagged(per, [F.col("__c"), F.col("__v")], None)
+
+    # one pass over the sorted table: totals per (partition, column), ≤ #partitions × #columns rows;
+    # column c holds global positions (start_c, start_c + n_c], partition p (off_p, off_p + total_p]
+    cells_t = tagged.groupBy(_PID, "__c").agg(F.sum("__k").alias("__pk"))
+    cols = cells_t.groupBy("__c").agg(F.sum("__pk").alias("__n"))
+    cols = cols.withColumn("__s", F.coalesce(
+        F.sum("__n").over(Window.orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     prob_rows = F.array(*[F.struct(F.lit(j).alias("__j"), F.lit(float(p)).alias("__p")) for j, p in enumerate(probs)])
-    tgt = cum.groupBy("__c").agg(F.max("cum_k").alias("__n")).select("__c", "__n", F.explode(prob_rows).alias("__t"))
+    tgt = cols.select("__c", "__n", "__s", F.explode(prob_rows).alias("__t"))
     h = (F.col("__n") - 1).cast("double") * F.col("__t.__p")
     tgt = tgt.select("__c", F.col("__t.__j").alias("__j"), h.alias("__h"), F.floor(h).alias("__lo"),
-                     F.ceil(h).alias("__hi"))
+                     F.ceil(h).alias("__hi"), (F.col("__s") + F.floor(h) + 1).alias("__gl"),
+                     (F.col("__s") + F.ceil(h) + 1).alias("__gh"))
+    parts = cells_t.groupBy(_PID).agg(F.sum("__pk").alias("__pk"))
+    parts = parts.select(_PID, F.coalesce(F.sum("__pk").over(
+        Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__ps"), "__pk")
+    parts = parts.withColumn("__pe", F.col("__ps") + F.col("__pk"))
+
+    def inside(pos: Column, lo: Column, hi: Column) -> Column:
+        return (pos > lo) & (pos <= hi)
+
+    wanted = parts.join(F.broadcast(tgt), inside(F.col("__gl"), F.col("__ps"), F.col("__pe"))
+                        | inside(F.col("__gh"), F.col("__ps"), F.col("__pe")))
+    wanted = wanted.select(_PID, "__ps").distinct()  # ≤ 2 · #columns · #probs rows
+    run_w = Window.partitionBy(_PID).orderBy(_IDX).rowsBetween(Window.unboundedPreceding, 0)
+    rows = tagged.join(F.broadcast(wanted), _PID).select(
+        "__c", "__v", "__k", (F.col("__ps") + F.sum("__k").over(run_w)).alias("__g"))
 
-    def covers(pos: Column) -> Column:  # row holds positions (cum_k - k, cum_k]
-        return (pos > F.col("cum_k") - F.col("__k")) & (pos <= F.col("cum_k"))
+    def covers(pos: Column) -> Column:  # row holds global positions (g - k, g]
+        return inside(pos, F.col("__g") - F.col("__k"), F.col("__g"))
 
-    lo_pos, hi_pos = F.col("__lo") + 1, F.col("__hi") + 1
-    hit = cum.select("__c", "__v", "__k", "cum_k").join(F.broadcast(tgt), "__c").where(
-        covers(lo_pos) | covers(hi_pos))
+    hit = rows.join(F.broadcast(tgt), "__c").where(covers(F.col("__gl")) | covers(F.col("__gh")))
     picked = hit.groupBy("__c", "__j").agg(
-        F.max(F.when(covers(lo_pos), F.col("__v"))).alias("__a"),
-        F.max(F.when(covers(hi_pos), F.col("__v"))).alias("__b"),
+        F.max(F.when(covers(F.col("__gl")), F.col("__v"))).alias("__a"),
+        F.max(F.when(covers(F.col("__gh")), F.col("__v"))).alias("__b"),
         F.max("__h").alias("__h"), F.max("__lo").alias("__lo"), F.max("__hi").alias("__hi"))
     a, b, hh = F.col("__a"), F.col("__b"), F.col("__h")
     value = F.when(F.col("__lo") == F.col("__hi"), a).otherwise(
@@ -163,6 +184,17 @@ def exact_percentiles(df: DataFrame, columns: list[str], probs: list[float],
     ])
 
 
+def fitted_row(df: DataFrame) -> DataFrame:
+    """Run a one-row fit (thresholds, median, fences) now and return it as a
+    local one-row frame. Plans that apply it stay small instead of carrying
+    the fit's subplan into every branch that uses it; the fit itself stays
+    distributed."""
+    rows = df.limit(2).collect()
+    if len(rows) != 1:
+        raise ValueError(f"expected one fitted row, got {len(rows)}")
+    return df.sparkSession.createDataFrame(rows, df.schema)
+
+
 def exact_quantiles(df: DataFrame, col: str, probs: list[float], names: list[str]) -> DataFrame:
     """One column: ``exact_percentiles`` with output names ``names``."""
     return exact_percentiles(df, [col], probs, [names])

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from upkeep.functions.columns import md5_order
-from upkeep.operators.positions import exact_quantiles, global_position, group_positions
+from upkeep.operators.positions import exact_quantiles, fitted_row, global_position, group_positions
 
 
 def _check(train: float, val: float, test: float) -> None:
@@ -21,7 +21,7 @@ def _check(train: float, val: float, test: float) -> None:
 
 def provisional_label(scored: DataFrame, score_col: str = "priority_score", out: str = "provisional") -> DataFrame:
     """1 when the score is above the median (stratification only)."""
-    med = exact_quantiles(scored, score_col, [0.5], ["__median"])
+    med = fitted_row(exact_quantiles(scored, score_col, [0.5], ["__median"]))
     return (
         scored.crossJoin(F.broadcast(med))
         .withColumn(out, (F.col(score_col) > F.col("__median")).cast("int"))
