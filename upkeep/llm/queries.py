@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from upkeep.llm import decontaminate, sentencepiece_bpe, token_files, topk, url_filter
+from upkeep.llm import decontaminate, near_duplicates, sentencepiece_bpe, token_files, topk, url_filter
 from upkeep.llm.sql import ORACLE  # noqa: F401
 
 TOKENIZERS = os.environ.get("TOKENIZER_DIR")
@@ -35,6 +35,10 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.encode_documents(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -47,6 +51,7 @@ QUERIES = {
     "op2_url_filter": op2_url_filter,
     "op3_exact_topk": op3_exact_topk,
     "op5_sentencepiece": op5_sentencepiece,
+    "op6_near_duplicates": op6_near_duplicates,
     "op9_decontaminate": op9_decontaminate,
     "op10_token_files": op10_token_files,
 }

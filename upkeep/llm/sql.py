@@ -16,6 +16,22 @@ ORACLE = {
         SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM scored
         WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
         QUALIFY row_number() OVER w <= 20""",
+    "op6_near_duplicates": f"""
+        WITH RECURSIVE docs AS (SELECT doc_id, regexp_extract_all({LOWERED}, '{SPACED}') AS w FROM documents),
+        shingles AS (
+          SELECT DISTINCT doc_id, array_to_string(w[i:i + least(len(w), 4) - 1], ' ') AS s
+          FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - least(len(w), 4) + 1)) AS i FROM docs WHERE len(w) > 0)),
+        sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+        common AS (
+          SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id
+          GROUP BY a.doc_id, b.doc_id),
+        links AS (
+          SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+          WHERE 100 * common.n >= 80 * (x.n + y.n - common.n)),
+        reach AS (SELECT doc_id AS a, doc_id AS b FROM docs UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+        least_of AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+        SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
+        FROM docs JOIN least_of USING (doc_id) LEFT JOIN sizes USING (doc_id)""",
     "op9_decontaminate": f"""
         WITH items AS (SELECT item_id, regexp_extract_all({LOWERED}, '{LETTERS}') AS w FROM benchmark),
         docs AS (SELECT row_number() OVER () AS uid, doc_id, regexp_extract_all({LOWERED}, '{LETTERS}') AS w FROM documents),

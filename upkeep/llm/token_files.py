@@ -189,7 +189,9 @@ def read_tokens(spark: SparkSession, out_dir: str, dtype: str = "<u2", with_toke
                     yield pa.RecordBatch.from_pydict(out)
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", tokens array<long>" if with_tokens else "")
-    return manifest(spark, out_dir).select("part", "base").repartition("part").mapInArrow(read, schema)
+    files = manifest(spark, out_dir).select("part", "base")
+    # a fixed number: adaptive execution would put the short file list into one task
+    return files.repartition(max(1, files.count()), "part").mapInArrow(read, schema)
 
 
 def token_table(docs: DataFrame, tokenizer_path: str, end_id: int = 1) -> DataFrame:
