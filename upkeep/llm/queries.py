@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from upkeep.llm import decontaminate, near_duplicates, sentencepiece_bpe, token_files, topk, url_filter
+from upkeep.llm import decontaminate, near_duplicates, sentencepiece_bpe, substring_dedup, token_files, topk, url_filter
 from upkeep.llm.sql import ORACLE  # noqa: F401
 
 TOKENIZERS = os.environ.get("TOKENIZER_DIR")
@@ -39,6 +39,11 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.substring_dedup(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -52,6 +57,7 @@ QUERIES = {
     "op3_exact_topk": op3_exact_topk,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_near_duplicates": op6_near_duplicates,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_decontaminate": op9_decontaminate,
     "op10_token_files": op10_token_files,
 }

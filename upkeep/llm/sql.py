@@ -32,6 +32,18 @@ ORACLE = {
         least_of AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
         SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
         FROM docs JOIN least_of USING (doc_id) LEFT JOIN sizes USING (doc_id)""",
+    "op8_substring_dedup": f"""
+        WITH docs AS (SELECT row_number() OVER () AS uid, doc_id, regexp_extract_all(coalesce(text, ''), '{SPACED}') AS w FROM documents),
+        spots AS (
+          SELECT uid, doc_id, i, array_to_string(w[i:i + 12], ' ') AS s
+          FROM (SELECT uid, doc_id, w, unnest(generate_series(1, len(w) - 12)) AS i FROM docs WHERE len(w) >= 13)),
+        sources AS (SELECT s, min(doc_id) AS source FROM spots GROUP BY s),
+        gone AS (
+          SELECT DISTINCT uid, unnest(generate_series(i, i + 12)) AS p FROM spots JOIN sources USING (s) WHERE source < doc_id),
+        words AS (SELECT uid, unnest(generate_series(1, len(w))) AS p, unnest(w) AS x FROM docs),
+        kept AS (SELECT uid, count(*) AS n, string_agg(x, ' ' ORDER BY p) AS t FROM words ANTI JOIN gone USING (uid, p) GROUP BY uid)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+        FROM docs LEFT JOIN kept USING (uid)""",
     "op9_decontaminate": f"""
         WITH items AS (SELECT item_id, regexp_extract_all({LOWERED}, '{LETTERS}') AS w FROM benchmark),
         docs AS (SELECT row_number() OVER () AS uid, doc_id, regexp_extract_all({LOWERED}, '{LETTERS}') AS w FROM documents),

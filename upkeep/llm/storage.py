@@ -7,6 +7,7 @@ outlives lost executors and no two runs meet.
 
 from __future__ import annotations
 
+import gc
 import re
 import uuid
 
@@ -41,3 +42,11 @@ def check_columns(df: DataFrame, *names: str) -> None:
     missing = [n for n in names if n not in df.columns]
     if missing:
         raise ValueError(f"missing columns: {', '.join(missing)}")
+
+
+def release(spark: SparkSession) -> None:
+    """Have the driver collect garbage. Shuffle files of finished steps stay on
+    the executors' disks until the driver drops the last reference to them; jobs
+    of several large steps call this in between to keep the peak to one step."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
