@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from upkeep.llm import decontaminate, near_duplicates, sentencepiece_bpe, substring_dedup, token_files, topk, url_filter
+from upkeep.llm import decontaminate, near_duplicates, quality, sentencepiece_bpe, substring_dedup, token_files, topk, url_filter
 from upkeep.llm.sql import ORACLE  # noqa: F401
 
 TOKENIZERS = os.environ.get("TOKENIZER_DIR")
@@ -31,6 +31,11 @@ def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.judge(docs, quality.train(docs, quality.grades_of(_table(spark, sf_dir, "labels"))))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.encode_documents(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
 
@@ -55,6 +60,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_url_filter": op2_url_filter,
     "op3_exact_topk": op3_exact_topk,
+    "op4_quality": op4_quality,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_near_duplicates": op6_near_duplicates,
     "op8_substring_dedup": op8_substring_dedup,
