@@ -3,8 +3,6 @@ whole tables. ``QUERIES`` and ``ORACLE`` are merged by ``__spark_entry__``."""
 
 from __future__ import annotations
 
-import os
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,12 +10,6 @@ import corpus_pipeline
 from upkeep.llm import decontaminate, near_duplicates, quality, sentencepiece_bpe, substring_dedup, token_files, topk, url_filter
 from upkeep.llm.sql import ORACLE  # noqa: F401
 
-TOKENIZERS = os.environ.get("TOKENIZER_DIR")
-
-
-def _tokenizer(name: str) -> str:
-    return f"{TOKENIZERS}/{name}" if TOKENIZERS else str(public_tokenizers.path(name))
-
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -37,7 +29,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentencepiece_bpe.encode_documents(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+    return sentencepiece_bpe.encode_documents(_table(spark, sf_dir, "documents"), str(public_tokenizers.path("piece_bpe_32k.model")))
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,10 +46,11 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_files.token_table(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+    return token_files.token_table(_table(spark, sf_dir, "documents"), str(public_tokenizers.path("word_bpe_49k.json")))
 
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op2_url_filter": op2_url_filter,
     "op3_exact_topk": op3_exact_topk,
     "op4_quality": op4_quality,

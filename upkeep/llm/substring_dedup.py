@@ -249,43 +249,57 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
 
 
 def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(uid, doc_id, text): uid is the id if no id is repeated or null, else a number
-    given to the rows of a written copy."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    """(uid, doc_id, text, row): uid is the id if no id is repeated or null, else a
+    number given to the rows of a written copy; row holds all columns."""
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"),
+                       F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     if rows.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").isEmpty():
-        return rows.select(F.col("doc_id").alias("uid"), "doc_id", "text")
-    return written(rows.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text"), "numbered")
+        return rows.select(F.col("doc_id").alias("uid"), "*")
+    return written(rows.select(F.monotonically_increasing_id().alias("uid"), "*"), "numbered")
 
 
-def substring_dedup(docs: DataFrame, length: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 and kept (the words that stay, joined
-    by one space) of every document."""
+def _stripped(docs: DataFrame, length: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, row, found): found holds n_words, n_removed, kept_sha256 and kept."""
     check_columns(docs, id_col, text_col)
     rows = _numbered(docs, id_col, text_col)
-    spans = repeated_spans(rows, length).groupBy("uid").agg(F.collect_list(F.struct("at", "words")).alias("spans"))
-    spans = written(spans, "spans")
+    spans = repeated_spans(rows.select("uid", "doc_id", "text"), length)
+    spans = written(spans.groupBy("uid").agg(F.collect_list(F.struct("at", "words")).alias("spans")), "spans")
     release(docs.sparkSession)
-    joined = rows.join(spans, "uid", "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(_keep, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
-
-
-def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        spans = batch.column(2)
-        for lo, hi, block in runs(batch.column(1)):
-            total, removed, kept = [], [], []
-            for i in range(hi - lo):
-                words = block.strings(i)
-                total.append(len(words))
-                if spans[lo + i].is_valid:
-                    gone = np.zeros(len(words), bool)
-                    own = spans[lo + i].values
-                    for at, n in zip(own.field(0).to_pylist(), own.field(1).to_pylist(), strict=True):
-                        gone[at:at + n] = True
-                    words = [words[j] for j in np.flatnonzero(~gone)]
-                removed.append(total[-1] - len(words))
-                kept.append(b" ".join(words))
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0).slice(lo, hi - lo), pa.array(total, pa.int64()), pa.array(removed, pa.int64()),
-                pa.array([hashlib.sha256(k).hexdigest() for k in kept]), pa.array([k.decode() for k in kept], pa.string()),
-            ], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
+    keep = F.arrow_udf(_keep, "n_words long, n_removed long, kept_sha256 string, kept string")
+    return rows.join(spans, "uid", "left").select("doc_id", "row", keep("text", "spans").alias("found"))
+
+
+def _keep(texts: pa.Array, spans: pa.Array) -> pa.Array:
+    total, removed, kept = [], [], []
+    for lo, hi, block in runs(texts):
+        for i in range(hi - lo):
+            words = block.strings(i)
+            total.append(len(words))
+            if spans[lo + i].is_valid:
+                gone = np.zeros(len(words), bool)
+                own = spans[lo + i].values
+                for at, n in zip(own.field(0).to_pylist(), own.field(1).to_pylist(), strict=True):
+                    gone[at:at + n] = True
+                words = [words[j] for j in np.flatnonzero(~gone)]
+            removed.append(total[-1] - len(words))
+            kept.append(b" ".join(words))
+    return pa.StructArray.from_arrays([
+        pa.array(total, pa.int64()), pa.array(removed, pa.int64()),
+        pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()), pa.array([k.decode() for k in kept], pa.string()),
+    ], ["n_words", "n_removed", "kept_sha256", "kept"])
+
+
+def substring_dedup(docs: DataFrame, length: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 and kept (the words that stay, joined
+    by one space) of every document."""
+    return _stripped(docs, length, id_col, text_col).select("doc_id", "found.*")
+
+
+def without_repeats(docs: DataFrame, length: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs``, all columns, without repeated passages. A text that loses nothing
+    stays as it is; one that loses words becomes the words that stay, joined by one
+    space; a document that loses all its words goes."""
+    found = _stripped(docs, length, id_col, text_col)
+    found = found.where((F.col("found.n_removed") == 0) | (F.col("found.n_removed") < F.col("found.n_words")))
+    text = F.when(F.col("found.n_removed") == 0, F.col(f"row.`{text_col}`")).otherwise(F.col("found.kept"))
+    return found.select(*(text.alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns))
