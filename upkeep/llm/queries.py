@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from upkeep.llm import decontaminate, near_duplicates, quality, sentencepiece_bpe, substring_dedup, token_files, topk, url_filter
+from upkeep.llm import decontaminate, language_id, near_duplicates, quality, sentencepiece_bpe, substring_dedup, token_files, topk, url_filter
 from upkeep.llm.sql import ORACLE  # noqa: F401
 
 
@@ -36,6 +36,10 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_id(_table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.substring_dedup(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -56,6 +60,7 @@ QUERIES = {
     "op4_quality": op4_quality,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_near_duplicates": op6_near_duplicates,
+    "op7_language_id": op7_language_id,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_decontaminate": op9_decontaminate,
     "op10_token_files": op10_token_files,
