@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from upkeep.llm import decontaminate, language_id, near_duplicates, quality, sentencepiece_bpe, substring_dedup, token_files, topk, url_filter
+from upkeep.llm import decontaminate, language_id, lm_score, near_duplicates, quality, sentencepiece_bpe, substring_dedup, token_files, topk, url_filter
 from upkeep.llm.sql import ORACLE  # noqa: F401
 
 
@@ -15,6 +15,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages"))
 
@@ -55,6 +59,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
+    "op1_lm_score": op1_lm_score,
     "op2_url_filter": op2_url_filter,
     "op3_exact_topk": op3_exact_topk,
     "op4_quality": op4_quality,
