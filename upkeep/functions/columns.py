@@ -64,7 +64,12 @@ def format_guard(fmt: str) -> str:
             j = i
             while j < len(fmt) and fmt[j] == ch:
                 j += 1
-            out.append(r"\d+")
+            if ch == "X":
+                out.append(r"(?:Z|[+-]\d\d:\d\d)")
+            elif ch == "M" and j - i > 2:
+                out.append("[A-Za-z]+")
+            else:
+                out.append(r"\d+")
             i = j
         else:
             out.append(re.escape(ch))

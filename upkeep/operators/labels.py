@@ -174,13 +174,15 @@ def leakage_free(feature_columns: list[str], weights: dict[str, float], drop_rat
 # ---------------------------------------------------------------- W8
 def horizon_label(df: DataFrame, hours: int, group_col: str = "machine_id", time_col: str = "timestamp",
                   event_col: str = "failure_label", out: str = "failure_within_horizon") -> DataFrame:
-    """1 iff the same machine has a failure event in (t, t+H]. Range frame on a
-    µs axis; one sort per machine shared with the other per-machine windows."""
+    """1 iff the same machine has a failure event in (t, t+H]: the next failure
+    after t is a running minimum over the rows in descending time (one sort, one
+    value of state a machine), and it decides with one comparison."""
     from pyspark.sql import Window
 
     us = "__t_us"
-    w = Window.partitionBy(group_col).orderBy(F.col(us)).rangeBetween(1, int(hours) * 3600 * 1_000_000)
-    fired = F.max(F.when(F.col(event_col) == 1, 1).otherwise(0)).over(w)
+    w = Window.partitionBy(group_col).orderBy(F.col(us).desc()).rangeBetween(Window.unboundedPreceding, -1)
+    after = F.min(F.when(F.col(event_col) == 1, F.col(us))).over(w)
+    fired = (after - F.col(us) <= int(hours) * 3600 * 1_000_000).cast("int")
     return (
         df.withColumn(us, micros(col_(time_col)))
         .withColumn(out, F.coalesce(fired, F.lit(0)).cast("int"))

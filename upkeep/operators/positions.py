@@ -16,6 +16,8 @@ because the order is total (ties broken by key columns).
 
 from __future__ import annotations
 
+import functools
+
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -92,7 +94,10 @@ def prefix_sums(df: DataFrame, order: list[str | Column], sums: dict[str, str |
             *[F.min_by(F.col(f"cum_{k}") - F.col(f"__v_{k}"), F.col(pos)).alias(f"__b_{k}") for k in vals],
             F.min(pos).alias("__p0"),
         )
-        res = res.join(firsts, group_cols)
+        # null-safe: rows of the NULL group are a group like any other
+        firsts = firsts.select(*[F.col(c).alias(f"__g_{c}") for c in group_cols], *[f"__b_{k}" for k in vals], "__p0")
+        same = functools.reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__g_{c}")) for c in group_cols])
+        res = res.join(firsts, same).drop(*[f"__g_{c}" for c in group_cols])
         for k in vals:
             res = res.withColumn(f"cum_{k}", F.col(f"cum_{k}") - F.col(f"__b_{k}"))
         res = res.withColumn(pos, F.col(pos) - F.col("__p0") + 1)
@@ -109,10 +114,6 @@ def group_positions(df: DataFrame, group_cols: list[str], order: list[str | Colu
     return res.drop("cum___one")
 
 
-def group_sizes(df: DataFrame, group_cols: list[str], out: str = "group_n") -> DataFrame:
-    return df.join(df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias(out)), group_cols)
-
-
 def exact_percentiles(df: DataFrame, columns: list[str], probs: list[float],
                       names: list[list[str]]) -> DataFrame:
     """One-row frame of exact, linearly interpolated percentiles (the rule of

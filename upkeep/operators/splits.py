@@ -68,13 +68,14 @@ def _two_stage(pos, n, train: float, val: float, test: float) -> F.Column:
 def split_stratified(df: DataFrame, stratum_col: str, key_col: str, train: float = 0.70, val: float = 0.15,
                      test: float = 0.15, seed: int = 42, out: str = "split") -> DataFrame:
     """Per stratum: pseudo-random order by md5, train = floor(n·train), then
-    val = floor(rest·val/(val+test)), rest test. Class ratio kept per split."""
+    val = floor(rest·val/(val+test)), rest test. Class ratio kept per split; rows
+    without a stratum are a stratum of their own."""
     _check(train, val, test)
     keyed = df.withColumn("__h", md5_order(seed, key_col))
     positioned = group_positions(keyed, [stratum_col], [F.col("__h"), F.col(key_col)], out="__pos")
-    sizes = df.groupBy(stratum_col).agg(F.count(F.lit(1)).alias("__n"))
+    sizes = df.groupBy(F.col(stratum_col).alias("__s")).agg(F.count(F.lit(1)).alias("__n"))
     return (
-        positioned.join(F.broadcast(sizes), stratum_col)
+        positioned.join(sizes, F.col(stratum_col).eqNullSafe(F.col("__s"))).drop("__s")
         .withColumn(out, _two_stage(F.col("__pos"), F.col("__n"), train, val, test))
         .drop("__pos", "__n", "__h")
     )
@@ -82,7 +83,8 @@ def split_stratified(df: DataFrame, stratum_col: str, key_col: str, train: float
 
 def split_holdout(df: DataFrame, machine_col: str = "machine_id", train: float = 0.70, val: float = 0.15,
                   test: float = 0.15, seed: int = 42, out: str = "split") -> DataFrame:
-    """Every row of a machine lands in one split; ratios apply to machines."""
+    """Every row of a machine lands in one split; ratios apply to machines. Rows
+    without a machine can leak into no other machine's split: they train."""
     _check(train, val, test)
     machines = df.select(machine_col).where(F.col(machine_col).isNotNull()).distinct()
     machines = machines.withColumn("__h", md5_order(seed, machine_col))
@@ -93,7 +95,7 @@ def split_holdout(df: DataFrame, machine_col: str = "machine_id", train: float =
         .select(machine_col, _two_stage(F.col("__pos"), F.col("__n"), train, val, test).alias(out))
     )
     # machine → split is one row per machine: a shuffle join, not a broadcast
-    return df.join(assign, machine_col, "left")
+    return df.join(assign, machine_col, "left").withColumn(out, F.coalesce(out, F.lit("train")))
 
 
 def split_balance(df: DataFrame, split_col: str = "split", label_col: str = "label") -> DataFrame:

@@ -2,17 +2,19 @@
 
 All operators share one window spec ``partitionBy(machine).orderBy(time, key)``
 so Spark sorts each machine's rows once for the whole feature set, and all
-frames are row-bounded (at most ``EWMA_ROWS`` rows for the EWMA) so a very
-long machine history never becomes one unbounded buffer. No-ops when the key,
+frames are row-bounded, so a very long machine history never becomes one
+unbounded buffer (the EWMA carries its state row by row). No-ops when the key,
 time or sensor columns are absent.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from upkeep.schema import DEFAULT_EWMA_SPAN, DEFAULT_LAGS, DEFAULT_ROLLING, SENSOR_FIELDS
 
@@ -53,36 +55,50 @@ def lag_rolling(df: DataFrame, sensors: list[str] | None = None, lags: list[int]
     return df.select("*", *cols)
 
 
-def ewma_rows(span: int) -> int:
-    """Rows after which older weights are below double precision: (1-α)^K < 2^-53."""
-    alpha = 2.0 / (span + 1.0)
-    return int(math.ceil(math.log(2.0 ** -53) / math.log(1.0 - alpha)))
-
-
-def _ewma_over(x: Column, w, span: int) -> Column:
-    """EWMA (adjust=False, gaps decay the old weight) over the last K rows.
+def ewma(df: DataFrame, sensors: list[str], span: int, group_col: str, time_col: str, key_cols: list[str] | None = None) -> DataFrame:
+    """``<s>_ewma_<span>`` by the exact recursion (adjust=False; a missing value
+    lets the old weight decay): the first value starts y with weight 1; each later
+    row multiplies the weight by 1 - alpha; a value v sets y = (ow*y + alpha*v) /
+    (ow + alpha) and the weight to 1; before the first value it is NULL.
 
-    State (y, ow) folds over the frame: no value yet → first value starts y;
-    each later row multiplies ow by (1-α); an observation sets
-    y = (ow·y + α·x)/(ow + α) and resets ow to 1."""
+    One pass over rows sorted by machine and time. The state is one pair of
+    numbers a sensor, carried from batch to batch, so a machine's history may be
+    of any length; a machine's rows are one sequence and stay in one task."""
     alpha = 2.0 / (span + 1.0)
-    k = ewma_rows(span)
-    frame = w.rowsBetween(-(k - 1), 0)
-    seq = F.collect_list(F.struct(x.alias("x"))).over(frame)  # struct keeps NULLs
-    init = F.struct(F.lit(None).cast("double").alias("y"), F.lit(1.0).alias("ow"))
-
-    def step(acc, e):
-        y, ow, v = acc["y"], acc["ow"], e["x"]
-        ow2 = ow * F.lit(1.0 - alpha)
-        upd = F.when(y == v, y).otherwise((ow2 * y + F.lit(alpha) * v) / (ow2 + F.lit(alpha)))
-        return (
-            F.when(y.isNull() & v.isNull(), acc)
-            .when(y.isNull(), F.struct(v.alias("y"), F.lit(1.0).alias("ow")))
-            .when(v.isNull(), F.struct(y.alias("y"), ow2.alias("ow")))
-            .otherwise(F.struct(upd.alias("y"), F.lit(1.0).alias("ow")))
-        )
-
-    return F.aggregate(seq, init, step)["y"]
+    n = len(df.columns)
+    place = df.columns.index(group_col)
+    names = [f"{s}_ewma_{span}" for s in sensors]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine, started = None, False
+        state = [[None, 1.0] for _ in sensors]
+        for batch in batches:
+            owners = batch.column(place).to_pylist()
+            out = []
+            fresh = [not started or owners[0] != machine] + [a != b for a, b in zip(owners[1:], owners, strict=False)] if owners else []
+            for k in range(len(sensors)):
+                y, weight = state[k]
+                column = []
+                for v, first in zip(batch.column(n + k).to_pylist(), fresh, strict=True):
+                    if first:
+                        y, weight = None, 1.0
+                    if y is None:
+                        y, weight = v, 1.0
+                    else:
+                        weight *= 1.0 - alpha
+                        if v is not None:
+                            y, weight = y if y == v else (weight * y + alpha * v) / (weight + alpha), 1.0
+                    column.append(y)
+                state[k] = [y, weight]
+                out.append(pa.array(column, pa.float64()))
+            if owners:
+                machine, started = owners[-1], True
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *out], [*df.columns, *names])
+
+    wide = df.select("*", *[F.col(s).cast("double").alias(f"__x{k}") for k, s in enumerate(sensors)])
+    ordered = wide.repartition(group_col).sortWithinPartitions(group_col, time_col, *(key_cols or []))
+    schema = T.StructType(df.schema.fields + [T.StructField(x, T.DoubleType()) for x in names])
+    return ordered.mapInArrow(run, schema)
 
 
 def trend(df: DataFrame, sensors: list[str] | None = None, span: int = DEFAULT_EWMA_SPAN,
@@ -98,17 +114,13 @@ def trend(df: DataFrame, sensors: list[str] | None = None, span: int = DEFAULT_E
     for s in sensors:
         x = F.col(s).cast("double")
         stage = stage.withColumn(f"__ff_{s}", F.last(x, ignorenulls=True).over(running))
-        stage = stage.withColumn(f"__ew_{s}", _ewma_over(x, w, span))
     out = []
     for s in sensors:
         x, ff = F.col(s).cast("double"), F.col(f"__ff_{s}")
         out.append((x - F.lag(x, 1).over(w)).alias(f"{s}_diff_1"))
         out.append((F.try_divide(ff, F.lag(ff, 1).over(w)) - 1).alias(f"{s}_pct_change_1"))
-        # a gap longer than the frame keeps the last value, as the recursion does
-        out.append(F.coalesce(F.col(f"__ew_{s}"), F.last(F.col(f"__ew_{s}"), ignorenulls=True).over(running))
-                   .alias(f"{s}_ewma_{span}"))
-    res = stage.select("*", *out)
-    return res.drop(*[f"__ff_{s}" for s in sensors], *[f"__ew_{s}" for s in sensors])
+    res = stage.select("*", *out).drop(*[f"__ff_{s}" for s in sensors])
+    return ewma(res, sensors, span, group_col, time_col, key_cols)
 
 
 def sequence_windows(df: DataFrame, sensors: list[str], length: int, label_col: str,

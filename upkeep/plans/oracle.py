@@ -25,7 +25,7 @@ FROM customer c LEFT JOIN (
     CAST(SUM(CASE WHEN o_orderstatus='O' THEN CAST(FLOOR(o_totalprice/1000) AS BIGINT) ELSE 0 END) AS DOUBLE) AS downtime_minutes,
     MAX(CASE WHEN o_orderstatus='F' THEN o_orderdate END) AS last_completed_pm,
     MAX(CASE WHEN o_orderstatus='P' THEN o_orderdate END) AS last_completed_wo
-  FROM orders WHERE o_orderdate >= TIMESTAMP '1999-01-01 00:00:00' GROUP BY o_custkey
+  FROM orders GROUP BY o_custkey
 ) o ON o.o_custkey = c.c_custkey
 """
 

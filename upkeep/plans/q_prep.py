@@ -112,26 +112,6 @@ def detect_id_like(spark, d):
     return P.detect_id_like(typed_export(spark, d))
 
 
-# ------------------------------------------------------------------ P8 (schema only)
-@query("required_columns")
-def required_columns(spark, d):
-    return P.required_columns(raw_export(spark, d), ["machine_id", "Asset ID", "timestamp"])
-
-
-# ------------------------------------------------------------------ M1 / M2
-@query("suggest_mapping")
-def suggest_mapping(spark, d):
-    raw = raw_export(spark, d)
-    return M.mapping_frame(spark, M.suggest_mapping(raw.columns), "raw_export")
-
-
-@query("validate_mapping")
-def validate_mapping(spark, d):
-    tel = table(spark, d, "events")
-    problems = M.validate_mapping(M.suggest_mapping(tel.columns), tel.columns)
-    return spark.createDataFrame([(p,) for p in problems], "problem string")
-
-
 # ------------------------------------------------------------------ M3
 _ALL_STD = [f[0] for f in FIELD_DICTIONARY] + ["source_dataset"] + [n for _s, n in EXPECTED_EXTRAS]
 
@@ -165,18 +145,6 @@ def mixed_type_to_string(spark, d):
     return t.select(F.col("`Serial Number`").alias("serial_number"), F.col("`Spare Parts Count`").alias("spare_parts_count"))
 
 
-# ------------------------------------------------------------------ M7
-@query("mapping_upsert")
-def mapping_upsert(spark, d):
-    raw = raw_export(spark, d)
-    tel = table(spark, d, "events")
-    saved = M.mapping_frame(spark, M.suggest_mapping(raw.columns), "cmms").unionByName(
-        M.mapping_frame(spark, M.suggest_mapping(tel.columns), "telemetry"))
-    renamed = [c.replace("user_id", "Machine ID").replace("ts", "Reading Time") for c in tel.columns]
-    new = M.mapping_frame(spark, M.suggest_mapping(renamed), "telemetry")
-    return M.upsert_mapping(saved, new)
-
-
 # ------------------------------------------------------------------ M8
 @query("drop_null_key", with_ctes(["clean_export"],
        "SELECT machine_id, equipment_category FROM clean_export WHERE machine_id IS NOT NULL"))

@@ -119,6 +119,15 @@ DATE_FORMATS = [
     "yyyy/MM/dd",
     "MM/dd/yyyy",
     "dd.MM.yyyy",
+    "yyyy-MM-dd HH:mm:ss.SSSSSSSSS",
+    "yyyy-MM-dd'T'HH:mm:ss.SSSSSSSSS",
+    "yyyy-MM-dd'T'HH:mm:ssXXX",
+    "yyyy-MM-dd'T'HH:mm:ss.SSSSSSSSSXXX",
+    "yyyy-M-d",
+    "M/d/yyyy",
+    "MMMM d, yyyy",
+    "MMM d, yyyy",
+    "dd-MMM-yyyy",
 ]
 
 # ---------------------------------------------------------------------------

@@ -26,7 +26,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 # ------------------------------------------------------------------ S1 / S6
-CSV_WRITE = {"header": "true", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+CSV_WRITE = {"header": "true", "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 
 NULL_MARKER = "\\N"
@@ -43,11 +43,12 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite", null_value: str
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
-             null_value: str | None = None) -> DataFrame:
-    """Whole-file CSV scan. Without a schema every column is read as text, so
+             null_value: str | None = None, multi_line: bool = False) -> DataFrame:
+    """Whole-file CSV scan; a quote inside a quoted field is doubled. ``multi_line``
+    reads quoted line breaks (a file is then one task). Without a schema every column is read as text, so
     one later aggregation pass (P2 / M6) decides the types."""
     r = spark.read.option("header", "true").option("ignoreLeadingWhiteSpace", "false") \
-        .option("ignoreTrailingWhiteSpace", "false")
+        .option("ignoreTrailingWhiteSpace", "false").option("escape", '"').option("multiLine", multi_line)
     if null_value is not None:
         r = r.option("nullValue", null_value)
     if schema is not None:
@@ -73,11 +74,15 @@ def validate_source(spark: SparkSession, path: str, extensions: tuple[str, ...]
 
 
 def bad_record_report(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Rows that do not fit ``schema`` (what PERMISSIVE mode would mark as
-    corrupt), counted in one pass: the file is scanned as text and every
-    typed field is test-cast; a non-empty value that does not cast is bad."""
-    text = read_csv(spark, path)
-    bad = F.lit(False)
+    """Rows that do not fit ``schema``, counted in one pass: the file is scanned as
+    text; a row with fewer or more fields than the header, or with a non-empty
+    value that does not cast to its type, is bad."""
+    header = read_csv(spark, path)
+    corrupt = "__corrupt"
+    plain = T.StructType([T.StructField(c, T.StringType()) for c in header.columns] + [T.StructField(corrupt, T.StringType())])
+    text = (spark.read.schema(plain).option("header", "true").option("escape", '"').option("columnNameOfCorruptRecord", corrupt)
+            .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(path))
+    bad = F.col(corrupt).isNotNull()
     for f, c in zip(schema.fields, text.columns):
         if isinstance(f.dataType, T.StringType):
             continue
@@ -135,12 +140,16 @@ def metrics_long(spark: SparkSession, path: str) -> DataFrame:
     metric, value)``. Experiment and model come from the folder layout
     (``experiment=…/model=…`` partitions, or ``<experiment>/<model>_metrics.json``
     via the file path)."""
-    df = spark.read.option("multiLine", "true").option("recursiveFileLookup", "false").json(path)
-    if "experiment" not in df.columns or "model" not in df.columns:
+    jvm = spark.sparkContext._jvm
+    pattern = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/experiment=*/model=*")
+    fs = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.globStatus(pattern):
+        df = spark.read.option("multiLine", "true").json(path)
+    else:
         df = (spark.read.option("multiLine", "true").json(f"{path.rstrip('/')}/*/*_metrics.json")
               .withColumn("__p", F.col("_metadata.file_path"))
               .withColumn("experiment", F.regexp_extract("__p", r"/([^/]+)/[^/]+_metrics\.json$", 1))
               .withColumn("model", F.regexp_extract("__p", r"/([^/]+)_metrics\.json$", 1)).drop("__p"))
-    present = [m for m in METRIC_NAMES if m in df.columns]
-    typed = df.select("experiment", "model", *[F.col(m).cast("double").alias(m) for m in present])
-    return typed.unpivot(["experiment", "model"], present, "metric", "value")
+    # a metric that no file has gives NULL rows
+    typed = df.select("experiment", "model", *[(F.col(m) if m in df.columns else F.lit(None)).cast("double").alias(m) for m in METRIC_NAMES])
+    return typed.unpivot(["experiment", "model"], METRIC_NAMES, "metric", "value")

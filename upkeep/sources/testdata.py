@@ -28,7 +28,6 @@ def asset_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = (
         table(spark, sf_dir, "orders")
         .select("o_custkey", "o_orderstatus", "o_orderpriority", "o_totalprice", "o_orderdate")
-        .where(F.col("o_orderdate") >= F.lit("1999-01-01 00:00:00").cast("timestamp_ntz"))
     )
     open_ = F.col("o_orderstatus") == "O"
     urgent = F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")
