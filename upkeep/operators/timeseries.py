@@ -68,6 +68,7 @@ def ewma(df: DataFrame, sensors: list[str], span: int, group_col: str, time_col:
     n = len(df.columns)
     place = df.columns.index(group_col)
     names = [f"{s}_ewma_{span}" for s in sensors]
+    all_names = [*df.columns, *names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine, started = None, False
@@ -93,7 +94,7 @@ def ewma(df: DataFrame, sensors: list[str], span: int, group_col: str, time_col:
                 out.append(pa.array(column, pa.float64()))
             if owners:
                 machine, started = owners[-1], True
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *out], [*df.columns, *names])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *out], all_names)
 
     wide = df.select("*", *[F.col(s).cast("double").alias(f"__x{k}") for k, s in enumerate(sensors)])
     ordered = wide.repartition(group_col).sortWithinPartitions(group_col, time_col, *(key_cols or []))
