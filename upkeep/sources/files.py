@@ -80,7 +80,7 @@ def bad_record_report(spark: SparkSession, path: str, schema: T.StructType) -> D
     header = read_csv(spark, path)
     corrupt = "__corrupt"
     plain = T.StructType([T.StructField(c, T.StringType()) for c in header.columns] + [T.StructField(corrupt, T.StringType())])
-    text = (spark.read.schema(plain).option("header", "true").option("escape", '"').option("columnNameOfCorruptRecord", corrupt)
+    text = (spark.read.schema(plain).option("header", "true").option("columnPruning", "false").option("escape", '"').option("columnNameOfCorruptRecord", corrupt)
             .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(path))
     bad = F.col(corrupt).isNotNull()
     for f, c in zip(schema.fields, text.columns):
