@@ -127,6 +127,23 @@ def test_near_duplicates_equal_brute_force(spark, docs, size):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, r in got.items() if r["kept"])
 
 
+@pytest.mark.parametrize("with_base", [True, False])
+def test_near_copies_not_linked_to_a_hub_equal_brute_force(spark, with_base):
+    import random
+
+    rng, base = random.Random(7), [f"g{i}" for i in range(150)]
+    rows = [(0, " ".join(base))] if with_base else []
+    for k in range(1, 220):  # one to fourteen changes, a third of them shared by some; some cut short
+        w = list(base)
+        for _ in range(rng.randint(1, 14)):
+            at = rng.randrange(len(w))
+            w[at] = f"z{at // 40}" if rng.random() < 0.3 else f"z{rng.random()}"
+        rows.append((k, " ".join(w[:rng.choice([150, 150, 150, 140, 125])])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = by_id(near_duplicates.near_duplicates(df))
+    assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == brute_components(rows, 4, 80)
+
+
 def test_near_duplicates_with_null_and_repeated_ids(spark):
     df = spark.createDataFrame([(None, "a b c d e"), (1, "a b c d e"), (1, "z"), (2, "a b c d e")], "doc_id long, text string")
     got = {r["doc_id"]: r["component_id"] for r in near_duplicates.near_duplicates(df).collect()}

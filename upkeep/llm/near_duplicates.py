@@ -16,11 +16,17 @@ if shorter). One hash function orders all shingles; the sketch of a set is its
    filter). Passages that many documents share make long lists only for
    documents that consist of them.
 3. Stars: in every list the class with the most widely shared sketch is the
-   hub, compared with all others; linked members leave the list. ``STARS``
-   rounds reduce groups of thousands of near copies to the few members that
-   are not linked to a hub. What is left of a list is compared pair by pair,
-   and with the members that left, unless the distances to the hub rule a link
-   out (d(x, y) >= d(x, hub) - d(y, hub)).
+   hub, compared with all others; where most members share shingles that the hub
+   lacks, the member closest to what they share takes its place. Linked members
+   leave the list with the hub. ``STARS`` rounds reduce groups of thousands of
+   near copies to the few members that are not linked to a hub.
+   Members near a hub (d <= 2 * limit) but not linked to it may be linked to those
+   that left, or to each other. With R, the hub's shingles and those that more
+   than half of its members have besides, |x & y| <= min(|x & R|, |y & R|) + m, m
+   the shared shingles outside R. So such pairs are found by joins on the few
+   shingles outside R and, for m = 0, on sizes, never by listing a group's pairs:
+   near copies of a text share R and little else. What no hub is near to is
+   compared pair by pair at the end.
 4. Each comparison estimates the similarity from the sketch of the union
    (the smallest values of both sketches) and, if it may reach the limit,
    is confirmed on the full sets.
@@ -98,7 +104,7 @@ def full_sets(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _may_link(a: str, b: str, na: str, nb: str, percent: int) -> Column:
-    """Whether sizes and the union's sketch leave a link possible."""
+    """Whether sizes and the union's sketch leave a similarity of ``percent`` possible."""
     sizes = F.least(na, nb) * 100 >= F.greatest(na, nb) * percent
     union = f"slice(array_sort(array_union({a}, {b})), 1, {SKETCH})"
     both = f"array_intersect({a}, {b})"
@@ -106,22 +112,34 @@ def _may_link(a: str, b: str, na: str, nb: str, percent: int) -> Column:
     return sizes & (estimate >= percent / 100 - SLACK)
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _reach(percent: int) -> int:
+    """The least similarity, in percent, to a hub of a class linked to one that is linked to the hub."""
+    return 100 - 2 * (100 - percent)
+
+
+def _confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, around: bool = False) -> DataFrame:
     """(a, b, linked, similarity) of the pairs (a, b) that the sketches leave
     possible. ``a`` may occur in very many pairs: they are dealt out over as
-    many copies of its set as keep a task at ``DEAL`` pairs."""
+    many copies of its set as keep a task at ``DEAL`` pairs. ``around``: all pairs
+    down to ``_reach`` and, for those, n (size of b), both (size of the
+    intersection) and gained (shingles of b that a lacks)."""
+    least = _reach(percent) if around else percent
     one = classes.select(F.col("doc").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
     two = classes.select(F.col("doc").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
-    near = pairs.distinct().join(one, "a").join(two, "b").where(_may_link("s_a", "s_b", "n_a", "n_b", percent))
+    near = pairs.distinct().join(one, "a").join(two, "b").where(_may_link("s_a", "s_b", "n_a", "n_b", least))
     near = written(near.select("a", "b", "n_a", "n_b"), "pairs")
     deals = near.groupBy("a").agg(F.ceil(F.count("*") / DEAL).cast("int").alias("deals"))
     near = near.join(deals, "a").withColumn("deal", F.pmod(F.xxhash64("b"), F.col("deals")).cast("int"))
     one = (deals.join(sets.select(F.col("doc").alias("a"), F.col("shingles").alias("t_a")), "a")
            .select("a", "t_a", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal")))
     two = sets.select(F.col("doc").alias("b"), F.col("shingles").alias("t_b"))
-    common = near.join(two, "b").join(one, ["a", "deal"]).select("a", "b", "n_a", "n_b", F.size(F.array_intersect("t_a", "t_b")).cast("long").alias("both"))
+    both = F.size(F.array_intersect("t_a", "t_b")).cast("long")
+    common = near.join(two, "b").join(one, ["a", "deal"]).select("a", "b", "n_a", "n_b", both.alias("both"), *(["t_a", "t_b"] if around else []))
     union = F.col("n_a") + F.col("n_b") - F.col("both")
-    return written(common.select("a", "b", (F.col("both") * 100 >= union * percent).alias("linked"), (F.col("both") / union).alias("similarity")), "links")
+    out = ["a", "b", (F.col("both") * 100 >= union * percent).alias("linked"), (F.col("both") / union).alias("similarity")]
+    if around:
+        out += [F.col("n_b").alias("n"), "both", F.when(F.col("both") * 100 >= union * least, F.array_except("t_b", "t_a")).alias("gained")]
+    return written(common.select(*out), "links")
 
 
 def _lists(classes: DataFrame) -> DataFrame:
@@ -156,38 +174,100 @@ def link_classes(classes: DataFrame, docs: DataFrame, size: int, percent: int) -
 
 
 def _rounds(lists: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> Iterator[DataFrame]:
-    far = 2 * (1 - percent / 100)
+    members = []
     for _ in range(STARS):
         hubs = lists.groupBy("value").agg(F.max_by("doc", "rank").alias("hub"), F.count("*").alias("members")).where("members > 1").drop("members")
         spokes = written(lists.join(hubs, "value").where("doc <> hub"), "spokes")
         if spokes.isEmpty():
-            return
-        judged = _confirmed(spokes.select(F.col("hub").alias("a"), F.col("doc").alias("b")), classes, sets, percent)
-        yield judged
-        verdict = judged.select(F.col("a").alias("hub"), F.col("b").alias("doc"), "linked", "similarity")
-        spokes = written(spokes.join(verdict, ["hub", "doc"], "left"), "spokes")
-        stay = spokes.where("linked IS NULL OR NOT linked")
-        # members near the hub, but not linked to it, may be linked to those that leave with it
-        near = stay.where(F.col("similarity") >= 1 - far).select("value", F.col("doc").alias("a"))
-        left = spokes.where("linked").select("value", F.col("doc").alias("b"))
-        across = _compared(near, left, classes, percent)
+            break
+        judged = _confirmed(spokes.select(F.col("hub").alias("a"), F.col("doc").alias("b")), classes, sets, percent, around=True)
+        yield judged.select("a", "b", "linked", "similarity")
+        related = _related(judged)
+        centres = written(_centres(related), "centres")
+        if not centres.isEmpty():
+            hubs = hubs.join(centres, "hub", "left").select("value", F.coalesce("centre", "hub").alias("hub"))
+            spokes = written(lists.join(hubs, "value").where("doc <> hub"), "spokes")
+            moved = spokes.join(centres.select(F.col("centre").alias("hub")).distinct(), "hub", "left_semi")
+            again = _confirmed(moved.select(F.col("hub").alias("a"), F.col("doc").alias("b")), classes, sets, percent, around=True)
+            yield again.select("a", "b", "linked", "similarity")
+            old = judged.join(centres.select(F.col("hub").alias("a")), "a", "left_anti").join(centres.select(F.col("centre").alias("a")).distinct(), "a", "left_anti")
+            judged = written(old.unionAll(again), "judged")
+            related = _related(judged)
+        members.append(related)
+        across = _possible(related.where("NOT linked"), related.where("linked"), percent)
         if not across.isEmpty():
             yield _confirmed(across, classes, sets, percent)
-        lists = written(stay.select("value", "doc", "rank"), "lists")
-    across = _compared(lists.select("value", F.col("doc").alias("a")), lists.select("value", F.col("doc").alias("b")), classes, percent, once=True)
-    if not across.isEmpty():
-        yield _confirmed(across, classes, sets, percent)
-
-
-def _compared(one: DataFrame, two: DataFrame, classes: DataFrame, percent: int, once: bool = False) -> DataFrame:
-    """Pairs (a, b) of a list's two sides that the sketches leave possible; the
-    estimate is part of the join, so other pairs are never put out."""
-    left = one.join(classes.select(F.col("doc").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a")), "a").withColumnRenamed("value", "v_a")
-    right = two.join(classes.select(F.col("doc").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b")), "b").withColumnRenamed("value", "v_b")
-    on = (F.col("v_a") == F.col("v_b")) & _may_link("s_a", "s_b", "n_a", "n_b", percent)
-    if once:
-        on &= F.col("a") < F.col("b")
-    return written(left.join(right, on).select("a", "b").distinct(), "across")
+        verdict = judged.where("linked").select(F.col("a").alias("hub"), F.col("b").alias("doc"))
+        lists = written(spokes.join(verdict, ["hub", "doc"], "left_anti").select("value", "doc", "rank"), "lists")
+    # what is left in the lists: classes near to one hub by what they have besides it, others by their sketches
+    last = written(lists.select("doc").distinct(), "last")
+    around = []
+    for related in members:
+        near = related.where("NOT linked").join(last, "doc", "left_semi")
+        around.append(near.select("hub", "doc"))
+        among = _possible(near, near, percent, once=True)
+        if not among.isEmpty():
+            yield _confirmed(among, classes, sets, percent)
+    if around:
+        hubs_of = functools.reduce(DataFrame.unionAll, around).groupBy("doc").agg(F.collect_set("hub").alias("hubs"))
+        others = _compared(lists, classes.join(last, "doc", "left_semi").join(hubs_of, "doc", "left"), percent)
+        if not others.isEmpty():
+            yield _confirmed(others, classes, sets, percent)
+
+
+def _related(judged: DataFrame) -> DataFrame:
+    """(hub, doc, linked, n, inside, outside) of the classes within reach of a hub
+    that has some not linked to it: with R, the hub's shingles and those that more
+    than half of these classes have besides, how many shingles of R the class has,
+    and its shingles outside R. ``extra`` is the number of shingles that R adds."""
+    within = judged.where("gained IS NOT NULL")
+    sizes = within.groupBy("a").agg(F.count("*").alias("members"), F.count_if(~F.col("linked")).alias("near")).where("near > 0")
+    within = within.join(sizes, "a")
+    common = within.select("a", "members", F.explode("gained").alias("e")).groupBy("a", "members", "e").count().where("2 * count > members")
+    added = common.groupBy("a").agg(F.collect_list("e").alias("added"))
+    within = within.join(added, "a", "left").withColumn("added", F.coalesce("added", F.array().cast("array<long>")))
+    return written(within.select(
+        F.col("a").alias("hub"), F.col("b").alias("doc"), "linked", "n", "members", "near", F.size("added").alias("extra"),
+        (F.col("both") + F.size(F.array_intersect("gained", "added"))).alias("inside"), F.array_except("gained", "added").alias("outside")), "related")
+
+
+def _centres(related: DataFrame) -> DataFrame:
+    """(hub, centre): for hubs that lack what most of a large group shares, the
+    member with the fewest differences from R."""
+    large = related.where("extra > 0 AND near * (members - near) > 4 * members")
+    rank = F.struct(F.col("n") - 2 * F.col("inside"), "doc")
+    return large.groupBy("hub").agg(F.min(rank).alias("least")).select("hub", F.col("least.doc").alias("centre"))
+
+
+def _possible(one: DataFrame, two: DataFrame, percent: int, once: bool = False) -> DataFrame:
+    """Pairs (a, b) of ``_related`` classes of one hub that may be linked: by the
+    shingles outside R that they share or, sharing none, by sizes alone."""
+    def side(df: DataFrame, s: str, *more: str) -> DataFrame:
+        limit = F.floor(F.col("inside") * (100 + percent) / percent) - F.col("n")
+        return df.select("hub", F.col("doc").alias(s), F.col("n").alias(f"n_{s}"), F.col("inside").alias(f"in_{s}"), limit.alias(f"limit_{s}"), *more)
+
+    a, b = side(one, "a", "outside"), side(two, "b", "outside")
+    shared = (a.withColumn("e", F.explode("outside")).drop("outside").join(b.withColumn("e", F.explode("outside")).drop("outside"), ["hub", "e"])
+              .where("a < b" if once else "a <> b").groupBy("hub", "a", "b", "n_a", "n_b", "in_a", "in_b").agg(F.count("*").alias("m")))
+    both = F.least("in_a", "in_b") + F.col("m")
+    shared = shared.where(both * 100 >= percent * (F.col("n_a") + F.col("n_b") - both)).select("a", "b")
+    # least(in_a, in_b) * (100 + percent) >= percent * (n_a + n_b): n_b <= limit_a and n_a <= limit_b
+    sizes = two.select("hub", F.col("n").alias("n_b")).distinct()
+    fitting = a.drop("outside").join(sizes, "hub").where("n_b <= limit_a")
+    alike = fitting.join(b.drop("outside"), ["hub", "n_b"]).where("n_a <= limit_b").where("a < b" if once else "a <> b").select("a", "b")
+    return written(shared.unionAll(alike).distinct(), "across")
+
+
+def _compared(lists: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of a list that the sketches leave possible, but for pairs near to
+    one hub; the estimate is part of the join, so other pairs are never put out."""
+    def side(s: str) -> DataFrame:
+        own = classes.select(F.col("doc").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"s_{s}"), F.col("hubs").alias(f"hubs_{s}"))
+        return lists.select(F.col("value").alias(f"v_{s}"), F.col("doc").alias(s)).join(own, s)
+
+    apart = ~F.coalesce(F.arrays_overlap("hubs_a", "hubs_b"), F.lit(False))
+    on = (F.col("v_a") == F.col("v_b")) & (F.col("a") < F.col("b")) & apart & _may_link("s_a", "s_b", "n_a", "n_b", percent)
+    return written(side("a").join(side("b"), on).select("a", "b").distinct(), "across")
 
 
 def _one_text_each(docs: DataFrame) -> DataFrame:
