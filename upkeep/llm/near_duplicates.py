@@ -57,7 +57,7 @@ from upkeep.llm.storage import check_columns, written
 from upkeep.llm.words import mix, runs, windows
 
 SKETCH = 64
-STARS = 3
+STARS = 2
 SLACK = 0.25
 DEAL = 2000
 
@@ -175,7 +175,7 @@ def link_classes(classes: DataFrame, docs: DataFrame, size: int, percent: int) -
 
 def _rounds(lists: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> Iterator[DataFrame]:
     members = []
-    for _ in range(STARS):
+    for turn in range(STARS):
         hubs = lists.groupBy("value").agg(F.max_by("doc", "rank").alias("hub"), F.count("*").alias("members")).where("members > 1").drop("members")
         spokes = written(lists.join(hubs, "value").where("doc <> hub"), "spokes")
         if spokes.isEmpty():
@@ -193,26 +193,19 @@ def _rounds(lists: DataFrame, classes: DataFrame, sets: DataFrame, percent: int)
             old = judged.join(centres.select(F.col("hub").alias("a")), "a", "left_anti").join(centres.select(F.col("centre").alias("a")).distinct(), "a", "left_anti")
             judged = written(old.unionAll(again), "judged")
             related = _related(judged)
-        members.append(related)
-        across = _possible(related.where("NOT linked"), related.where("linked"), percent)
-        if not across.isEmpty():
-            yield _confirmed(across, classes, sets, percent)
+        members.append(related.withColumn("turn", F.lit(turn)))
         verdict = judged.where("linked").select(F.col("a").alias("hub"), F.col("b").alias("doc"))
         lists = written(spokes.join(verdict, ["hub", "doc"], "left_anti").select("value", "doc", "rank"), "lists")
-    # what is left in the lists: classes near to one hub by what they have besides it, others by their sketches
-    last = written(lists.select("doc").distinct(), "last")
-    around = []
-    for related in members:
-        near = related.where("NOT linked").join(last, "doc", "left_semi")
-        around.append(near.select("hub", "doc"))
-        among = _possible(near, near, percent, once=True)
-        if not among.isEmpty():
-            yield _confirmed(among, classes, sets, percent)
-    if around:
-        hubs_of = functools.reduce(DataFrame.unionAll, around).groupBy("doc").agg(F.collect_set("hub").alias("hubs"))
-        others = _compared(lists, classes.join(last, "doc", "left_semi").join(hubs_of, "doc", "left"), percent)
-        if not others.isEmpty():
-            yield _confirmed(others, classes, sets, percent)
+    if not members:
+        return
+    # classes near to one hub meet by what they have besides it, others left in the lists by their sketches
+    last = written(lists.select("doc").distinct().withColumn("left", F.lit(True)), "last")
+    members = functools.reduce(DataFrame.unionAll, members).join(last, "doc", "left").withColumn("left", F.coalesce("left", F.lit(False)))
+    homes = members.where("NOT linked AND left").groupBy("doc").agg(F.min(F.struct("turn", "hub")).alias("h")).select("doc", "h.*")
+    others = _compared(lists, classes.join(last, "doc", "left_semi").join(homes, "doc", "left"), percent)
+    pairs = written(_possible(members, percent).unionAll(others).distinct(), "across")
+    if not pairs.isEmpty():
+        yield _confirmed(pairs, classes, sets, percent)
 
 
 def _related(judged: DataFrame) -> DataFrame:
@@ -239,35 +232,45 @@ def _centres(related: DataFrame) -> DataFrame:
     return large.groupBy("hub").agg(F.min(rank).alias("least")).select("hub", F.col("least.doc").alias("centre"))
 
 
-def _possible(one: DataFrame, two: DataFrame, percent: int, once: bool = False) -> DataFrame:
-    """Pairs (a, b) of ``_related`` classes of one hub that may be linked: by the
+def _possible(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of ``_related`` classes that may be linked: a class not linked to
+    the hub and one that is, or two that are not and are ``left`` in lists; by the
     shingles outside R that they share or, sharing none, by sizes alone."""
-    def side(df: DataFrame, s: str, *more: str) -> DataFrame:
+    def side(s: str, *more: str) -> DataFrame:
         limit = F.floor(F.col("inside") * (100 + percent) / percent) - F.col("n")
-        return df.select("hub", F.col("doc").alias(s), F.col("n").alias(f"n_{s}"), F.col("inside").alias(f"in_{s}"), limit.alias(f"limit_{s}"), *more)
-
-    a, b = side(one, "a", "outside"), side(two, "b", "outside")
-    shared = (a.withColumn("e", F.explode("outside")).drop("outside").join(b.withColumn("e", F.explode("outside")).drop("outside"), ["hub", "e"])
-              .where("a < b" if once else "a <> b").groupBy("hub", "a", "b", "n_a", "n_b", "in_a", "in_b").agg(F.count("*").alias("m")))
+        return members.where("NOT linked" if s == "a" else "linked OR left").select(
+            "turn", "hub", F.col("doc").alias(s), F.col("n").alias(f"n_{s}"), F.col("inside").alias(f"in_{s}"), limit.alias(f"limit_{s}"),
+            F.col("linked").alias(f"linked_{s}"), F.col("left").alias(f"left_{s}"), *more)
+
+    met = F.expr("a <> b AND (linked_b OR (left_a AND a < b))")
+    outside = F.explode("outside").alias("e")
+    shared = (side("a", outside).join(side("b", outside), ["turn", "hub", "e"]).where(met)
+              .groupBy("turn", "hub", "a", "b", "n_a", "n_b", "in_a", "in_b").agg(F.count("*").alias("m")))
     both = F.least("in_a", "in_b") + F.col("m")
     shared = shared.where(both * 100 >= percent * (F.col("n_a") + F.col("n_b") - both)).select("a", "b")
     # least(in_a, in_b) * (100 + percent) >= percent * (n_a + n_b): n_b <= limit_a and n_a <= limit_b
-    sizes = two.select("hub", F.col("n").alias("n_b")).distinct()
-    fitting = a.drop("outside").join(sizes, "hub").where("n_b <= limit_a")
-    alike = fitting.join(b.drop("outside"), ["hub", "n_b"]).where("n_a <= limit_b").where("a < b" if once else "a <> b").select("a", "b")
-    return written(shared.unionAll(alike).distinct(), "across")
+    sizes = side("b").select("turn", "hub", "n_b").distinct()
+    fitting = side("a").join(sizes, ["turn", "hub"]).where("n_b <= limit_a")
+    alike = fitting.join(side("b"), ["turn", "hub", "n_b"]).where("n_a <= limit_b").where(met).select("a", "b")
+    return shared.unionAll(alike)
 
 
 def _compared(lists: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of a list that the sketches leave possible, but for pairs near to
-    one hub; the estimate is part of the join, so other pairs are never put out."""
+    one hub; the estimate is part of the join, so other pairs are never put out, and
+    a pair comes from the smallest value whose list has both."""
+    values = lists.groupBy("doc").agg(F.collect_set("value").alias("values"))
+    classes = classes.join(values, "doc")
+
     def side(s: str) -> DataFrame:
-        own = classes.select(F.col("doc").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"s_{s}"), F.col("hubs").alias(f"hubs_{s}"))
+        own = classes.select(F.col("doc").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"s_{s}"),
+                             F.coalesce("turn", F.lit(-1)).alias(f"turn_{s}"), F.coalesce("hub", "doc").alias(f"hub_{s}"), F.col("values").alias(f"values_{s}"))
         return lists.select(F.col("value").alias(f"v_{s}"), F.col("doc").alias(s)).join(own, s)
 
-    apart = ~F.coalesce(F.arrays_overlap("hubs_a", "hubs_b"), F.lit(False))
-    on = (F.col("v_a") == F.col("v_b")) & (F.col("a") < F.col("b")) & apart & _may_link("s_a", "s_b", "n_a", "n_b", percent)
-    return written(side("a").join(side("b"), on).select("a", "b").distinct(), "across")
+    apart = F.expr("a < b AND (turn_a <> turn_b OR hub_a <> hub_b)")
+    first = F.expr("v_a = array_min(array_intersect(values_a, values_b))")
+    on = (F.col("v_a") == F.col("v_b")) & apart & first & _may_link("s_a", "s_b", "n_a", "n_b", percent)
+    return side("a").join(side("b"), on).select("a", "b")
 
 
 def _one_text_each(docs: DataFrame) -> DataFrame:
