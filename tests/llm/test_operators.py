@@ -315,3 +315,23 @@ def test_language_model_is_a_distribution(spark):
     every = np.arange(v.rest + 1)
     found, _ = model.outputs(np.repeat(state, len(every), 0), every, v)
     assert abs(np.exp(found.astype(np.float64)).sum() - 1) < 1e-3
+
+
+def test_language_model_learns_inside_the_classes_of_all_listed_words():
+    words = [f"w{i}".encode() for i in range(9000)]
+    v = lm_score.Vocabulary([lm_score.END, *words], list(range(9001, 0, -1)), sum(range(1, 9002)) + 50, 9001 + 40)
+    model, rng = lm_score.Model(v), np.random.default_rng(0)
+    states = rng.normal(0, 0.5, (2, lm_score.HIDDEN)).astype(np.float32)
+    pairs = np.array([[r, r + 1] for r in range(1, v.rest - 1, 97) if v.class_of[r] == v.class_of[r + 1]])
+    apart = [np.subtract(*(model.outputs(np.repeat(s[None], len(pairs), 0), pairs[:, i], v)[0] for i in (0, 1))) for s in states]
+    assert (np.abs(apart[0] - apart[1]) > 1e-5).mean() > 0.99  # the state, not the count alone, tells words of a class apart
+    target, gradient = np.array([5, 3000, 7000, 7001, 8999]), np.zeros_like(model.flat)
+    many = rng.normal(0, 0.5, (len(target), lm_score.HIDDEN)).astype(np.float32)
+    model.outputs(many, target, v, model.views(gradient))
+    for i in np.argsort(-np.abs(gradient))[:60]:
+        was, ends = model.flat[i], []
+        for step in (1e-2, -1e-2):
+            model.flat[i] = was + np.float32(step)
+            ends.append(-model.outputs(many, target, v)[0].astype(np.float64).sum())
+        model.flat[i] = was
+        assert abs((ends[0] - ends[1]) / 2e-2 - gradient[i]) < 5e-3
