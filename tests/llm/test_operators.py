@@ -335,3 +335,12 @@ def test_language_model_learns_inside_the_classes_of_all_listed_words():
             ends.append(-model.outputs(many, target, v)[0].astype(np.float64).sum())
         model.flat[i] = was
         assert abs((ends[0] - ends[1]) / 2e-2 - gradient[i]) < 5e-3
+
+
+def test_language_model_grows_with_the_input_and_not_with_its_partitions(spark, monkeypatch):
+    assert lm_score.list_length(50_000_000) > 10 * lm_score.LISTED and lm_score.list_length(10) == lm_score.LISTED
+    assert lm_score.dealt(1) == (1, 1) and lm_score.dealt(100 * lm_score.TASK) == (10, 10) and lm_score.dealt(400 * lm_score.TASK)[0] == 20
+    monkeypatch.setattr(lm_score, "TASK", 1500)
+    rows = [(i, " ".join(f"w{(i * k) % 50}" for k in range(40))) for i in range(200)]
+    one, many = (by_id(lm_score.score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(n))) for n in (1, 12))
+    assert all(abs(one[i]["score"] - many[i]["score"]) < 1e-4 * one[i]["n_tokens"] for i in one)
