@@ -344,3 +344,16 @@ def test_language_model_grows_with_the_input_and_not_with_its_partitions(spark,
     rows = [(i, " ".join(f"w{(i * k) % 50}" for k in range(40))) for i in range(200)]
     one, many = (by_id(lm_score.score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(n))) for n in (1, 12))
     assert all(abs(one[i]["score"] - many[i]["score"]) < 1e-4 * one[i]["n_tokens"] for i in one)
+
+
+def test_deduplicated_keeps_distinct_texts_of_repeated_ids(spark):
+    other = " ".join(f"o{i}" for i in range(80))
+    rows = [(5, None, "x"), (5, BASE, "y"), (9, BASE, "z"), (9, other, "w"), (4, other + " end", "v"), (7, "one two three four five six", "u"),
+            (7, "seven eight nine ten eleven twelve", "t"), (7, "one two three four five six", "u"), (None, BASE, "s"), (None, BASE, "r")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, more string").repartition(4)
+    kept = sorted(r["more"] for r in near_duplicates.deduplicated(df).collect())
+    assert kept == ["r", "s", "t", "u", "v", "x", "y"]
+    got = near_duplicates.near_duplicates(df)
+    assert got.count() == len(rows) and got.columns == ["doc_id", "n_shingles", "component_id", "kept"]
+    assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in got.where("doc_id IS NOT NULL").collect()) == [
+        (4, 4, True), (5, 5, True), (5, 5, True), (7, 7, False), (7, 7, True), (7, 7, True), (9, 4, False), (9, 5, False)]

@@ -35,10 +35,11 @@ if shorter). One hash function orders all shingles; the sketch of a set is its
 Hashes are 64 bits wide; equal sets are told by 128 bits and the size.
 
 Defined cases: null and empty texts have an empty set and link with nothing (each
-is its own component); a repeated id stands for its smallest text; ties do not
-arise (links are a threshold, components take the smallest id); an empty table
-gives no rows; further columns do not matter. A null id links with nothing and
-has a null component and kept.
+is its own component); rows that share an id are documents of their own, each
+sketched, linked and returned; a component is kept as its row of the smallest id, of
+several the one of the smallest hash of the row; an empty table gives no rows;
+further columns do not matter. A null id links with nothing and has a null component
+and kept.
 """
 
 from __future__ import annotations
@@ -273,18 +274,20 @@ def _compared(lists: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return side("a").join(side("b"), on).select("a", "b")
 
 
-def _one_text_each(docs: DataFrame) -> DataFrame:
-    """One row an id: a repeated id stands for its smallest text."""
-    if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return docs
-    return written(docs.groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
+def _numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
+    """(uid, doc_id, text, tie, row), and whether ids are repeated: uid is the id if
+    none is, else a number given to the rows of a written copy; row holds all columns."""
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    hashed = F.xxhash64(*(F.col(f"`{c}`") for c, t in docs.dtypes if "map<" not in t and t != "variant"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), hashed.alias("tie"), row.alias("row"))
+    if rows.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").isEmpty():
+        return rows.select(F.col("doc_id").alias("uid"), "*"), False
+    return written(rows.select(F.monotonically_increasing_id().alias("uid"), "*"), "numbered"), True
 
 
-def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest id reachable by links) and kept
-    (the id is the component's), one row for each distinct id."""
-    check_columns(docs, id_col, text_col)
-    docs = _one_text_each(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
+def _labelled(numbered: DataFrame, repeated: bool, size: int, percent: int) -> DataFrame:
+    """uid, doc_id, n_shingles, component_id and kept of the rows of ``_numbered``."""
+    docs = numbered.select(F.when(F.col("doc_id").isNotNull(), F.col("uid")).alias("doc_id"), "text")
     rows = written(sketches(docs, size), "sketches")
     full = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
     key = ["n_shingles", "sig1", "sig2"]
@@ -299,19 +302,34 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80, id_col: s
     copies = grouped.where("copies > 1").select(*key, "doc").join(label, "doc").select(*key, "component")
     copies = full.select("doc_id", *key).join(copies, key).select("doc_id", "component")
     single = grouped.where("copies = 1").select("doc").join(label, "doc").select(F.col("doc").alias("doc_id"), "component")
-    out = rows.select("doc_id", "n_shingles").join(copies.unionAll(single), "doc_id", "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    if not repeated:
+        out = rows.select("doc_id", "n_shingles").join(copies.unionAll(single), "doc_id", "left")
+        component = F.coalesce("component", "doc_id")
+        return out.select(F.col("doc_id").alias("uid"), "doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    # numbers do not follow the ids: a component's row of the smallest id is found by a map-side minimum
+    counts = rows.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("uid"), "n_shingles")
+    linked = copies.unionAll(single).select(F.col("doc_id").alias("uid"), "component")
+    out = numbered.where("doc_id IS NOT NULL").select("uid", "doc_id", "tie").join(counts, "uid").join(linked, "uid", "left")
+    out = written(out.withColumn("component", F.coalesce("component", "uid")), "numbers")
+    least = out.groupBy("component").agg(F.min(F.struct("doc_id", "tie", "uid")).alias("least"))
+    out = out.join(least, "component").select("uid", "doc_id", "n_shingles", F.col("least.doc_id").alias("component_id"), (F.col("uid") == F.col("least.uid")).alias("kept"))
+    nameless = rows.where("doc_id IS NULL").select(*(F.lit(None).cast(t).alias(c) for c, t in (("uid", "long"), ("doc_id", "long"))), "n_shingles",
+                                                   F.lit(None).cast("long").alias("component_id"), F.lit(None).cast("boolean").alias("kept"))
+    return out.unionAll(nameless)
+
+
+def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest id reachable by links) and kept
+    (the row stands for its component), one row for each row of ``docs``."""
+    check_columns(docs, id_col, text_col)
+    return _labelled(*_numbered(docs.select(id_col, text_col), id_col, text_col), size, percent).drop("uid")
 
 
 def deduplicated(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each component: that of its smallest id; of a
-    repeated id the smallest row. Rows with a null id all stay."""
-    found = written(near_duplicates(docs, size, percent, id_col, text_col), "components")
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias(id_col))
-    left = docs.join(gone, id_col, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
-    if docs.groupBy(id_col).count().where("count > 1").isEmpty():
-        return left
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    own = left.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("own_id")).agg(F.min(row).alias("own_row")).select("own_row.*")
-    return own.unionAll(left.where(F.col(id_col).isNull()))
+    """``docs`` with one row of each component: that of its smallest id. Rows go only
+    if their text is linked to that of a kept one; rows with a null id all stay."""
+    check_columns(docs, id_col, text_col)
+    numbered, repeated = _numbered(docs, id_col, text_col)
+    found = written(_labelled(numbered, repeated, size, percent), "components")
+    gone = found.where(~F.col("kept")).select("uid")
+    return numbered.join(gone, "uid", "left_anti").select("row.*")
