@@ -79,3 +79,17 @@ def test_no_local_folder_on_a_cluster():
 
     with pytest.raises(RuntimeError):
         checkpoint_dir(Session())
+
+
+def test_registered_inspection_covers_the_whole_table(spark, monkeypatch):
+    from upkeep.plans import q_sources
+    from upkeep.plans.registry import QUERIES
+
+    columns = q_sources.RAW_EXPORT_COLUMNS
+    rows = [(None if i < 5500 else str(i), *(["x"] * (len(columns) - 1))) for i in range(6000)]
+    raw = spark.createDataFrame(rows, ", ".join(f"`{c}` string" for c in columns))
+    monkeypatch.setattr(q_sources, "raw_export", lambda s, d: raw)
+    got = {r["column_name"]: r for r in QUERIES["inspect_bounded"](spark, "").collect()}
+    first = got[columns[0]]
+    assert (first["missing_count"], first["n_rows"], first["n_distinct"], first["n_duplicates"], first["dtype"]) == (5500, 6000, 501, 5499, "numeric")
+    assert first["preview"] == [None] * 10 and got[columns[1]]["preview"] == ["x"] * 10 and len(got) == len(columns)

@@ -166,6 +166,18 @@ def inspect_bounded(df: DataFrame, order: list[str], max_rows: int = MAX_INSPECT
     return prof.crossJoin(flag)
 
 
+def inspect_table(df: DataFrame, order: list[str], n: int = PREVIEW_ROWS) -> DataFrame:
+    """``column_profile`` of the whole table with its row count, distinct rows and
+    duplicates, and the first ``n`` rows' values of the column (by ``order``) as text."""
+    rank = F.struct(*[F.expr(o).alias(f"__o{i}") for i, o in enumerate(order)])
+    text = F.array(*[F.col(f"`{c}`").cast("string") for c in df.columns])
+    first = preview(df, order, n).select(rank.alias("__o"), text.alias("__v"))
+    first = first.agg(F.sort_array(F.collect_list(F.struct("__o", "__v"))).alias("__first"))
+    wide = column_profile(df).crossJoin(duplicate_count(df)).crossJoin(first)
+    values = F.transform("__first", lambda r: F.element_at(r["__v"], F.col("ordinal") + 1))
+    return wide.select("*", values.alias("preview")).drop("__first")
+
+
 # ------------------------------------------------------------------ P6
 def detect_datetime(df: DataFrame, threshold: float = 0.8) -> DataFrame:
     """``(column_name, is_datetime)``: typed datetime → yes; numeric or all-null

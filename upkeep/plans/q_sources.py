@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from upkeep.functions.columns import r6
 from upkeep.operators import serving as A
-from upkeep.operators.profile import inspect_bounded
+from upkeep.operators.profile import inspect_table
 from upkeep.plans.oracle import with_ctes
 from upkeep.plans.q_model import _CAND_CTES, candidate_metrics
 from upkeep.plans.registry import query
@@ -26,7 +26,7 @@ def scan_csv(spark, d):
 @query("inspect_bounded")
 def inspect_bounded_q(spark, d):
     raw = raw_export(spark, d)
-    return inspect_bounded(raw, [f"`{c}`" for c in RAW_EXPORT_COLUMNS])
+    return inspect_table(raw, [f"`{c}`" for c in RAW_EXPORT_COLUMNS])
 
 
 _TYPED = {"Overdue WOs": T.LongType(), "Global Anomaly Score": T.LongType()}
