@@ -86,3 +86,14 @@ def test_linear_attributions_rank_and_sum(spark):
     rows = {(r["k"], r["feature_name"]): (r["shap_value"], r["importance_rank"]) for r in att.collect()}
     # background means a=2, b=5 → k=1: φa=-2, φb=2.5 ; ranks by |φ|
     assert rows[(1, "b")] == (2.5, 1) and rows[(1, "a")] == (-2.0, 2)
+
+
+def test_tree_shap_of_more_than_64_features():
+    rng = np.random.default_rng(3)
+    trees = [_rand_tree(rng, 200, 8) for _ in range(3)]
+    assert max(len(set(t["feature"].tolist())) for t in trees) > 65  # the sets of one tree need several words
+    x, bg = rng.random((4, 200)), rng.random((5, 200))
+    a = ATT.tree_shap(x, bg, trees)
+    assert np.abs(a - ATT.tree_shap_bruteforce(x, bg, trees)).max() < 1e-12
+    gap = ATT.tree_predict(x, trees) - ATT.tree_predict(bg, trees).mean()
+    assert np.abs(a.sum(axis=1) - gap).max() < 1e-12

@@ -9,14 +9,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from upkeep.functions.columns import md5_order, r6
+from upkeep.functions.columns import r6
 from upkeep.operators import attribution as ATT
 from upkeep.operators import labels as L
 from upkeep.operators import metrics as E
 from upkeep.operators import splits as D
 from upkeep.operators import timeseries as W
 from upkeep.operators import train as T
-from upkeep.operators.score import align_features, classify
+from upkeep.operators.score import align_features, background_sample, classify
 from upkeep.plans.bindings import processed_export
 from upkeep.plans.oracle import with_ctes
 from upkeep.plans.registry import query
@@ -24,6 +24,8 @@ from upkeep.session import cut_lineage
 from upkeep.sources.files import scratch_path
 from upkeep.sources.testdata import telemetry
 
+BACKGROUND_ROWS = 100
+
 _MEMO: dict = {}
 _METRIC_COLS = ["model", "accuracy", "precision", "recall", "f1", "roc_auc", "pr_auc"]
 
@@ -201,9 +203,9 @@ def batch_score(spark, d):
 # ------------------------------------------------------------------ I4 trees
 @query("attribution_tree")
 def attribution_tree(spark, d):
-    """Forest attributions for the test rows against 100 md5-chosen train rows."""
+    """Forest attributions for the test rows against ``BACKGROUND_ROWS`` md5-chosen train rows."""
     p = prepared(spark, d)
     m = model(spark, d, "random_forest")
     forest = m.stages[-1]
-    bg = p.part("train").orderBy(md5_order(42, "machine_id"), "machine_id").limit(100)
+    bg = background_sample(p.part("train"), "machine_id", n=BACKGROUND_ROWS)
     return ATT.tree_attributions(p.part("test"), "machine_id", p.feature_columns, forest, bg)
