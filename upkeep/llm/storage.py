@@ -28,6 +28,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(spark: SparkSession, path: str) -> None:
+    """Delete a folder of ``fresh_dir`` that no later step reads."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def mounted(path: str) -> str:
     """The file-system path of a folder that Python workers open directly. Memory
     mapping needs a shared mount, so other schemes are refused."""
