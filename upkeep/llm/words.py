@@ -103,3 +103,12 @@ def runs(column: pa.Array | pa.ChunkedArray, lower: bool = False, chunk: int = _
         part = data[offsets[row]:offsets[stop]]
         yield row, stop, Words(_LOWER[part] if lower else part, offsets[row:stop + 1] - offsets[row])
         row = stop
+
+
+def span_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the runs ``values[start:end]`` of a sequence of numbers."""
+    n = len(values)
+    _tables(n + 1)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum((values + np.uint64(1)) * _powers[:n], out=sums[1:])
+    return mix((sums[end] - sums[start]) * _inverse[start])
