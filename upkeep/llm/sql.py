@@ -3,6 +3,7 @@
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 SPACED = r"[^\x20\x09-\x0D]+"
 LETTERS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 
 ORACLE = {
     "op3_exact_topk": """
@@ -62,4 +63,68 @@ ORACLE = {
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
                CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM docs LEFT JOIN words USING (uid) LEFT JOIN found USING (uid)""",
+    "op12_filter_audit": f"""
+        WITH docs AS (
+          SELECT row_number() OVER () AS uid, doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+                 regexp_extract_all(coalesce(text, ''), '{SPACED}') AS w FROM documents),
+        firsts AS (SELECT t, min(doc_id) AS first FROM docs GROUP BY t),
+        judged AS (
+          SELECT part, doc_id, [len(w) < 50, 100 * len(list_distinct(w)) < 65 * len(w),
+                 100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t), regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > first, false)] AS f
+          FROM docs JOIN firsts USING (t)),
+        marks AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id),
+        cells AS (
+          SELECT part, f, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+          FROM judged LEFT JOIN marks USING (doc_id) GROUP BY part, f),
+        letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+        orders AS (
+          SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+          WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+        steps AS (SELECT filter_order, unnest([1, 2, 3, 4, 5]) AS step FROM orders),
+        falls AS (
+          SELECT part, filter_order, step, n, good, toxic, f[ascii(substr(filter_order, step, 1)) - 64] AS fails,
+                 len(list_filter(f, lambda b: b)) AS n_fails,
+                 coalesce(list_min(list_filter([1, 2, 3, 4, 5], lambda k: f[ascii(substr(filter_order, k, 1)) - 64])), 6) AS gone
+          FROM cells, steps),
+        sums AS (
+          SELECT part, filter_order, step, sum(n) FILTER (WHERE gone > step) AS kept, sum(n) FILTER (WHERE gone = step) AS removed,
+                 sum(n) FILTER (WHERE fails AND gone < step) AS redundant, sum(n) FILTER (WHERE fails AND n_fails = 1) AS unique_fails,
+                 sum(good) FILTER (WHERE gone = step) AS good_lost, sum(toxic) FILTER (WHERE gone = step) AS toxic_lost
+          FROM falls GROUP BY ALL)
+        SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed,
+               CAST(coalesce(redundant, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails,
+               CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+               CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, substr(filter_order, step, 1)) AS BIGINT) AS shapley
+        FROM sums""",
+    "op13_source_divergence": f"""
+        WITH docs AS (
+          SELECT row_number() OVER () AS uid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                 regexp_extract_all({LOWERED}, '{TERM}') AS w FROM documents),
+        words AS (SELECT uid, lang, source, unnest(w) AS term FROM docs),
+        kept AS (SELECT lang, term FROM words GROUP BY lang, term HAVING count(DISTINCT uid) >= 30),
+        sizes AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+        counts AS (SELECT lang, source, term, count(*) AS n FROM words JOIN kept USING (lang, term) GROUP BY ALL),
+        groups AS (SELECT DISTINCT lang, source FROM docs),
+        totals AS (SELECT lang, source, sum(n) AS n_all FROM counts GROUP BY ALL),
+        shares AS (
+          SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+                 1 + CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 5) // (coalesce(t.n_all, 0) + 5 * s.v) AS p
+          FROM groups g JOIN kept k USING (lang) JOIN sizes s USING (lang) LEFT JOIN totals t USING (lang, source)
+          LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+        whole AS (SELECT lang, term, sum(n) AS n FROM counts GROUP BY ALL),
+        lang_shares AS (
+          SELECT lang, term, 1 + CAST(1000000000 AS HUGEINT) * (n + 5) // (sum(n) OVER (PARTITION BY lang) + 5 * v) AS q
+          FROM whole JOIN sizes USING (lang)),
+        gaps AS (
+          SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+          FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        pairs AS (
+          SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+          FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN gaps ON gaps.lang = a.lang AND gaps.source = a.source AND gaps.item = b.source),
+        terms AS (SELECT lang, source, 'term' AS part, term AS item, p - q AS value FROM shares JOIN lang_shares USING (lang, term) WHERE n > 0 AND p > q)
+        SELECT lang, source, part, item, CAST(value AS BIGINT) AS value,
+               CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+        FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
+        QUALIFY part = 'pair' OR row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) <= 50""",
 }
