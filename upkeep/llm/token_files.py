@@ -7,7 +7,8 @@ of the ids, three files that can be memory-mapped:
   other, little-endian unsigned (16 bits if every id fits, else 32);
 * ``offsets-PPPPP.bin``: int64, documents + 1 entries, start of each document
   within the partition's tokens;
-* ``ids-PPPPP.bin``: int64 document ids (``NULL_ID`` for a null id).
+* ``ids-PPPPP.bin``: int64 document ids (0 for a null id);
+* ``nulls-PPPPP.bin``: one byte a document, 1 where the id is null.
 
 Partitions hold ascending id ranges, so the position of a document in the
 whole stream is its local offset plus its partition's base; the bases are the
@@ -18,10 +19,7 @@ Defined cases: a null or empty text gives the end id alone; repeated ids and
 repeated rows are kept, ordered by (id, text); a null id sorts first; an
 empty table gives no rows; further columns are ignored.
 
-Encoding: the tokenizers library on each distinct word. Texts are cut at
-ASCII white space, which this vocabulary's pre-tokenizer drops, so the ids of a
-text are the ids of its words in order. Words seen before come from a bounded
-memo per worker.
+Encoding: ``unit_ids``, the tokenizers library on the distinct units of a block.
 """
 
 from __future__ import annotations
@@ -38,82 +36,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from upkeep.llm.storage import check_columns, fresh_dir, mounted
-from upkeep.llm.words import runs
+from upkeep.llm.unit_ids import encoded_blocks
 
-NULL_ID = -(1 << 63)
-MEMO_WORDS = 300_000
-BORDER = " \x01 "
 MANIFEST = "part int, docs long, tokens long"
 
-_loaded: dict[str, object] = {}
-
-
-class WordIds:
-    """Token bytes of words, encoded by the library once per distinct word.
-    Two generations of at most ``MEMO_WORDS`` entries bound the memory."""
-
-    def __init__(self, path: str, dtype: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = np.dtype(dtype)
-        if self.tokenizer.get_vocab_size(with_added_tokens=True) - 1 > np.iinfo(self.dtype).max:
-            raise ValueError(f"token ids do not fit {dtype}")
-        border = self.tokenizer.encode(BORDER, add_special_tokens=False).ids
-        self.border = border[0] if len(border) == 1 else None
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-
-    def learn(self, words: set[bytes]) -> None:
-        if len(self.young) > MEMO_WORDS:
-            self.old, self.young = self.young, {}
-        fresh = []
-        for w in words.difference(self.young):
-            known = self.old.get(w)
-            if known is None:
-                fresh.append(w)
-            else:
-                self.young[w] = known
-        for w, ids in zip(fresh, self._encode([w.decode() for w in fresh]), strict=True):
-            self.young[w] = ids
-
-    def _encode(self, words: list[str]) -> list[bytes]:
-        """Ids of words. They go through the library in one text, with a control
-        character between them whose one token marks the borders again; if a
-        word holds that token itself, each word is encoded alone."""
-        def run(texts: list[str]) -> list[np.ndarray]:
-            return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-        if self.border is not None and words:
-            ids = run([BORDER.join(words)])[0]
-            at = np.flatnonzero(ids == self.border)
-            if len(at) == len(words) - 1:
-                raw, size = ids.tobytes(), self.dtype.itemsize
-                return [raw[a * size:b * size] for a, b in zip([0, *(at + 1)], [*at, len(ids)], strict=True)]
-        return [ids.tobytes() for ids in run(words)]
-
-    def text(self, words: list[bytes]) -> bytes:
-        return b"".join(map(self.young.__getitem__, words))
-
-
-def _encoder(path: str, dtype: str) -> WordIds:
-    key = f"{path}|{dtype}"
-    if key not in _loaded:
-        _loaded[key] = WordIds(path, dtype)
-    return _loaded[key]
-
-
-def encoded(column: pa.Array, path: str, dtype: str, end_id: int) -> Iterator[bytes]:
-    """The token bytes of each text, end id included."""
-    encoder = _encoder(path, dtype)
-    end = np.array([end_id], encoder.dtype).tobytes()
-    for lo, hi, block in runs(column):
-        texts = [block.strings(i) for i in range(hi - lo)]
-        encoder.learn({w for words in texts for w in words})
-        for words in texts:
-            yield encoder.text(words) + end
-
 
 def _place(folder: str, name: str, data: bytes | None, moved: str | None = None) -> None:
     temp = moved or f"{folder}/.{name}.{uuid.uuid4().hex}"
@@ -133,23 +59,24 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, out_dir: str, end_id: int
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         os.makedirs(folder, exist_ok=True)
-        ids, lengths = [], []
+        ids, nulls, lengths = [], [], []
         temp = f"{folder}/.tokens-{part:05d}.bin.{uuid.uuid4().hex}"
-        size = np.dtype(dtype).itemsize
         with open(temp, "wb") as f:
             for batch in batches:
-                ids.append(batch.column(0).cast(pa.int64()).fill_null(NULL_ID).to_numpy(zero_copy_only=False))
-                for data in encoded(batch.column(1), tokenizer_path, dtype, end_id):
-                    f.write(data)
-                    lengths.append(len(data) // size)
+                ids.append(batch.column(0).cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False))
+                nulls.append(batch.column(0).is_null().to_numpy(zero_copy_only=False))
+                for _, _, block, bounds in encoded_blocks(batch.column(1), tokenizer_path, end_id, dtype):
+                    f.write(block.tobytes())
+                    lengths.append(np.diff(bounds))
         if not lengths:
             os.remove(temp)
             return
-        offsets = np.concatenate([[0], np.cumsum(np.array(lengths, np.int64))]).astype("<i8")
+        offsets = np.concatenate([[0], np.cumsum(np.concatenate(lengths))]).astype("<i8")
         _place(folder, f"offsets-{part:05d}.bin", offsets.tobytes())
         _place(folder, f"ids-{part:05d}.bin", np.concatenate(ids).astype("<i8").tobytes())
+        _place(folder, f"nulls-{part:05d}.bin", np.concatenate(nulls).astype(np.uint8).tobytes())
         _place(folder, f"tokens-{part:05d}.bin", None, temp)
-        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "docs": [len(lengths)], "tokens": [int(offsets[-1])]})
+        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "docs": [len(offsets) - 1], "tokens": [int(offsets[-1])]})
 
     ranged = (docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
               .repartitionByRange("id", F.xxhash64("text")).sortWithinPartitions("id", "text"))
@@ -173,13 +100,14 @@ def read_tokens(spark: SparkSession, out_dir: str, dtype: str = "<u2", with_toke
         for batch in batches:
             for part, base in zip(batch.column("part").to_pylist(), batch.column("base").to_pylist(), strict=True):
                 ids = np.memmap(f"{folder}/ids-{part:05d}.bin", "<i8", "r")
+                nulls = np.memmap(f"{folder}/nulls-{part:05d}.bin", np.uint8, "r")
                 offsets = np.memmap(f"{folder}/offsets-{part:05d}.bin", "<i8", "r")
                 tokens = np.memmap(f"{folder}/tokens-{part:05d}.bin", dtype, "r")
                 for lo in range(0, len(ids), 1000):
                     own = ids[lo:lo + 1000]
                     cut = offsets[lo:lo + len(own) + 1]
                     out = {
-                        "doc_id": pa.array(own, pa.int64(), mask=own == NULL_ID),
+                        "doc_id": pa.array(own, pa.int64(), mask=nulls[lo:lo + len(own)] == 1),
                         "start": pa.array(cut[:-1] + base, pa.int64()),
                         "n_tokens": pa.array(np.diff(cut), pa.int64()),
                         "ids_crc32": pa.array([zlib.crc32(tokens[a:b].astype("<u4").tobytes()) for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.int64()),

@@ -27,9 +27,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-MEMO_UNITS = 500_000
+MEMO_UNITS = 250_000
 SHORT = 64
-BLOCK = 1 << 23
+BLOCK = 1 << 22
 BORDER = b" \x01"
 WIDE_SPACE = r"[\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}][ \x09-\x0D]"
 
