@@ -31,6 +31,7 @@ MEMO_UNITS = 250_000
 SHORT = 64
 BLOCK = 1 << 22
 BORDER = b" \x01"
+SPACE_LETTER = "\u0120"
 WIDE_SPACE = r"[\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}][ \x09-\x0D]"
 
 _SPACE = np.zeros(256, bool)
@@ -65,6 +66,14 @@ def byte_strings(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
                                  [None, pa.py_buffer(np.ascontiguousarray(bounds, np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
 
 
+def bytes_list(array: pa.Array) -> list[bytes]:
+    """The values of a large-binary array without nulls."""
+    raw = array.buffers()[2]
+    raw = raw.to_pybytes() if raw is not None else b""
+    cut = np.frombuffer(array.buffers()[1], np.int64)[array.offset:array.offset + len(array) + 1].tolist()
+    return [raw[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+
+
 def run_positions(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """The numbers of the runs ``start .. start + length - 1``, one run after the other."""
     ends = np.cumsum(length)
@@ -84,6 +93,11 @@ class UnitIds:
         self.point = np.zeros(256, bool)
         self.point[[c for c in range(0x21, 0x7F) if not chr(c).isalnum() and chr(c) not in joined]] = True
         self.border = self._library([BORDER])[0]
+        # tokens that begin with a space, spelt as byte-level vocabularies spell it
+        spelt = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.lead = np.zeros(1 + max(spelt.values()), bool)
+        if any(SPACE_LETTER in self.tokenizer.id_to_token(int(i)) for i in self.border):
+            self.lead[[i for t, i in spelt.items() if t.startswith(SPACE_LETTER)]] = True
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
@@ -91,20 +105,30 @@ class UnitIds:
         return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast([u.decode() for u in units], add_special_tokens=False)]
 
     def _encode(self, units: list[bytes]) -> list[bytes]:
-        """Ids of units. Those that begin with white space and end without go
-        through the library in one text, with a border unit in between; if its
-        ids turn up elsewhere too, each unit is encoded alone."""
-        inner = [i for i, u in enumerate(units) if _SPACE[u[0]] and not _SPACE[u[-1]]]
+        """Ids of units. Those that begin with one space and end without go
+        through the library in one text. The first token of each carries the space,
+        and no other one; where the vocabulary has no such tokens, a border unit
+        in between marks the units. Each other unit is encoded alone, and so are
+        all if the marks don't come out as many."""
+        inner = [i for i, u in enumerate(units) if u[0] == 0x20 and not (len(u) == 1 or _SPACE[u[1]])]
+        joined = [units[i] for i in inner]
+        size = self.dtype.itemsize
         found: dict[int, bytes] = {}
-        if inner:
-            ids = self._library([BORDER.join(units[i] for i in inner)])[0]
+        if inner and self.lead.any():
+            ids = self._library([b"".join(joined)])[0]
+            at = np.flatnonzero(self.lead[ids])
+            if len(at) == len(inner):
+                raw, cut = ids.tobytes(), [*(at * size).tolist(), len(ids) * size]
+                found = {i: raw[a:b] for i, a, b in zip(inner, cut[:-1], cut[1:], strict=True)}
+        elif inner:
+            ids = self._library([BORDER.join(joined)])[0]
             width = len(self.border)
             at = np.arange(max(0, len(ids) - width + 1))
             for k in range(width):
                 at = at[ids[at + k] == self.border[k]]
             if len(at) == len(inner) - 1:
-                raw, size = ids.tobytes(), self.dtype.itemsize
-                found = {i: raw[a * size:b * size] for i, a, b in zip(inner, [0, *(at + width)], [*at, len(ids)], strict=True)}
+                raw = ids.tobytes()
+                found = {i: raw[a * size:b * size] for i, a, b in zip(inner, [0, *(at + width).tolist()], [*at.tolist(), len(ids)], strict=True)}
         alone = [i for i in range(len(units)) if i not in found]
         found |= {i: ids.tobytes() for i, ids in zip(alone, self._library([units[i] for i in alone]), strict=True)}
         return [found[i] for i in range(len(units))]
@@ -138,7 +162,7 @@ class UnitIds:
         cut[starts[starts < offsets[1:]]] = True
         at = np.flatnonzero(cut)
         coded = byte_strings(data, np.append(at, len(data))).dictionary_encode()
-        parts = [*self.ids_of(coded.dictionary.to_pylist()), np.array([end_id], self.dtype).tobytes()]
+        parts = [*self.ids_of(bytes_list(coded.dictionary)), np.array([end_id], self.dtype).tobytes()]
         size = self.dtype.itemsize
         length = np.fromiter(map(len, parts), np.int64, len(parts)) // size
         start = np.cumsum(length) - length
