@@ -4,20 +4,21 @@ Grades 0 .. K-1 are ordered; P(grade <= j) = sigmoid(t_j - s) with ascending
 thresholds t_j and one score s shared by all grades. s is the sum of the weights
 of a text's hashed features: the words (letters and digits in lower case), their
 first five characters, and their shapes (letters, digits and the punctuation that
-hangs on them). Each feature counts once a text.
+hangs on them). Words end at ASCII white space; one of several pieces, or a very
+long one, counts by its pieces too. Each feature counts once a text.
 
 The model is fitted on a sample of at most ``SAMPLE`` graded documents (those with
 the smallest hashes of their ids), by AdaGrad with an L1 term, on features that
-occur in ``LEAST`` or more documents of the sample; every document is scored over
-its whole text. The expected grade and the tail probabilities P(grade >= j) are
+occur in ``LEAST`` or more documents of the sample (in ``SHARE`` of them, and in two
+at least, if that is less); every document is scored over its whole text. The expected grade and the tail probabilities P(grade >= j) are
 returned; documents with P(grade >= cut) of ``KEEP`` or more are kept (below one
 half: losing a good document costs more than keeping a middling one, and bad
 documents score far below it).
 
 Defined cases: a null or empty text has no features, and its score is 0; graded
 rows with a null id or grade, or without a document, are left out; of several
-grades of one id the lowest counts; repeated documents are judged one by one (and
-in the sample count each); without any graded document every grade is equally
+grades of one id the lowest counts; repeated documents are judged one by one (in
+the sample an id has one document, that of the least text); P = ``KEEP`` is kept; without any graded document every grade is equally
 likely; an empty table gives no rows; documents keep their columns in ``kept_documents``.
 """
 
@@ -28,9 +29,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from upkeep.llm.storage import check_columns
@@ -38,10 +38,12 @@ from upkeep.llm.words import runs
 
 BITS = 18
 SAMPLE = 8_000
-LEAST = 8
+LEAST, SHARE = 8, 0.02
 MEMO_WORDS = 200_000
-ROUNDS = 120
+ROUNDS, MOST_ROUNDS, STEPS = 120, 400, 240_000
 KEEP = 0.2
+LONG = 20
+MANY = 60
 
 
 @dataclass
@@ -60,48 +62,67 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - scores[:, None], -60, 60)))
 
 
-
 def word_features(word: bytes) -> tuple[int, ...]:
-    """Numbers of a word's features."""
+    """Numbers of a word's features: its shape, its letters and digits, and their
+    first five. A word of several pieces (runs of letters and digits) has those of
+    each piece too, and a piece of over ``LONG`` characters its runs of five
+    characters, so all of a long word counts."""
     text = word.decode("utf-8", "replace")
-    core = "".join([c for c in text.lower() if c.isalnum()])
     shape, last = [], ""
-    for c in text[:40]:
+    for c in text:
         kind = ("A" if c.isupper() else "a") if c.isalpha() else "0" if c.isdigit() else c
         if kind != last:
             shape.append(kind)
             last = kind
+    pieces = "".join([c if c.isalnum() else " " for c in text.lower()]).split()
+    core = "".join(pieces)
     names = [f"s{''.join(shape)}"]
     if core:
         names += [f"w{core}", f"p{core[:5]}"]
+    if len(pieces) > 1:
+        names += [n for p in pieces for n in (f"w{p}", f"p{p[:5]}")]
+    names += [f"p{p[k:k + 5]}" for p in pieces if len(p) > LONG for k in range(5, len(p), 5)]
     return tuple(zlib.crc32(n.encode()) >> (32 - BITS) for n in names)
 
 
 class FeatureTable:
-    """Features of words, kept by word for a worker: row numbers into a table."""
+    """Features of words, kept by word for a worker: row numbers into a table of
+    three to a row. Words of more features have further rows; those of many are
+    not kept."""
 
     def __init__(self) -> None:
         self.clear()
 
     def clear(self) -> None:
         self.row: dict[bytes, int] = {}
+        self.more: dict[bytes, range] = {}
         self.table = np.zeros((1024, 3), np.int32)
+        self.used = 0
+
+    def learn(self, word: bytes) -> tuple[int, ...]:
+        """Add a word; the features of one that is not kept."""
+        own = word_features(word)
+        if len(own) > MANY:
+            return own
+        n = -(-len(own) // 3)
+        while self.used + n > len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        self.table[self.used:self.used + n].flat = own + own[:1] * (3 * n - len(own))
+        self.row[word] = self.used
+        if n > 1:
+            self.more[word] = range(self.used + 1, self.used + n)
+        self.used += n
+        return ()
 
     def text(self, words: list[bytes]) -> np.ndarray:
         """The distinct features of a text, ascending."""
         distinct = set(words)
         if len(self.row) + len(distinct) > MEMO_WORDS:
             self.clear()
-        for w in distinct.difference(self.row):
-            n = len(self.row)
-            if n == len(self.table):
-                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            own = word_features(w)
-            self.table[n] = own + own[:1] * (3 - len(own))
-            self.row[w] = n
-        if not distinct:
-            return np.zeros(0, np.int32)
-        return np.unique(self.table[[self.row[w] for w in distinct]])
+        loose = [own for w in distinct.difference(self.row) if (own := self.learn(w))]
+        rows = [self.row[w] for w in distinct if w in self.row]
+        rows += [r for w in self.more.keys() & distinct for r in self.more[w]]
+        return np.unique(np.concatenate([self.table[rows].ravel(), *(np.array(own, np.int32) for own in loose)]) if rows or loose else np.zeros(0, np.int32))
 
 
 def text_features(column: pa.Array, table: FeatureTable) -> Iterator[np.ndarray]:
@@ -130,20 +151,24 @@ def sample_of(docs: DataFrame, grades: DataFrame, sample: int, id_col: str, text
                                              ["id", "grade", "features"])
 
     joined = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    joined = joined.groupBy("id", "grade").agg(F.min("text").alias("text"))
     found = joined.select("id", "grade", "text").mapInArrow(run, "id long, grade int, features array<int>").toPandas()
     found = found.sort_values("id", kind="stable")  # rows arrive in any order: the fit must not depend on it
     return [np.asarray(f) for f in found["features"]], found["grade"].to_numpy(np.int64)
 
 
-def fit(features: list[np.ndarray], grades: np.ndarray, n_grades: int, rounds: int = ROUNDS, rate: float = 0.3, l1: float = 5e-4) -> Model:
-    """Cumulative-link regression by full-batch AdaGrad with an L1 term."""
+def fit(features: list[np.ndarray], grades: np.ndarray, n_grades: int, rounds: int | None = None, rate: float = 0.3, l1: float = 5e-4) -> Model:
+    """Cumulative-link regression by full-batch AdaGrad with an L1 term. A small
+    sample gets more rounds: about ``STEPS`` steps over documents in all."""
+    rounds = rounds or min(MOST_ROUNDS, max(ROUNDS, STEPS // max(1, len(grades))))
     even = -np.log(1 / (np.arange(1, n_grades) / n_grades) - 1)
     if not len(grades):
         return Model(even, np.zeros(0, np.int64), np.zeros(0))
     lengths = np.array([len(f) for f in features])
     flat = np.concatenate(features).astype(np.int64)
     frequency = np.bincount(flat, minlength=1 << BITS)
-    used = np.flatnonzero((frequency >= LEAST) & (frequency < len(grades)))
+    least = min(LEAST, max(2, round(SHARE * len(grades))))
+    used = np.flatnonzero((frequency >= least) & (frequency < len(grades)))
     number = np.full(1 << BITS, -1)
     number[used] = np.arange(len(used))
     doc = np.repeat(np.arange(len(grades)), lengths)
@@ -190,30 +215,32 @@ def train(docs: DataFrame, grades: DataFrame, n_grades: int = 3, sample: int = S
     return fit(*sample_of(docs, grades, sample, id_col, text_col), n_grades)
 
 
-def _score(docs: DataFrame, model: Model, text: Column) -> DataFrame:
-    """``row`` (all columns) with expected (grade) and tails (P(grade >= j), j from 1)."""
-
-    @F.pandas_udf("expected double, tails array<double>")
-    def score(texts: pd.Series) -> pd.DataFrame:
-        weights, table = model.dense(), _table()
-        found = np.array([weights[f].sum() for f in text_features(pa.array(texts, pa.string()), table)])
-        tails = model.tails(found)
-        return pd.DataFrame({"expected": tails.sum(axis=1), "tails": list(tails)})
-
-    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), score(text).alias("judged"))
+def _scores(texts: pa.Array, model: Model, weights: np.ndarray) -> np.ndarray:
+    """The tail probabilities of texts, a row each."""
+    return model.tails(np.array([weights[f].sum() for f in text_features(texts, _table())]))
 
 
 def judge(docs: DataFrame, model: Model, cut: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, expected_grade, p_tail (P(grade >= cut)) and kept."""
-    scored = _score(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")), model, F.col("text"))
-    tail = F.element_at("judged.tails", cut)
-    return scored.select(F.col("row.doc_id").alias("doc_id"), F.col("judged.expected").alias("expected_grade"), tail.alias("p_tail"), (tail >= KEEP).alias("kept"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = model.dense()
+        for batch in batches:
+            tails = _scores(batch.column(1), model, weights)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tails.sum(axis=1), pa.float64()), pa.array(tails[:, cut - 1], pa.float64()),
+                                              pa.array(tails[:, cut - 1] >= KEEP)], ["doc_id", "expected_grade", "p_tail", "kept"])
+
+    chosen = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    return chosen.mapInArrow(run, f"doc_id {chosen.schema['doc_id'].dataType.simpleString()}, expected_grade double, p_tail double, kept boolean")
 
 
 def kept_documents(docs: DataFrame, model: Model, cut: int = 2, text_col: str = "text") -> DataFrame:
     """``docs``, all columns, without the documents that are rejected."""
-    scored = _score(docs, model, F.col(f"`{text_col}`"))
-    return scored.where(F.element_at("judged.tails", cut) >= KEEP).select("row.*")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = model.dense()
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(batch.column(batch.schema.names.index(text_col)), model, weights)[:, cut - 1] >= KEEP))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def grades_of(labels: DataFrame) -> DataFrame:
