@@ -1,7 +1,9 @@
 """Distributed positions / prefix sums against single-task windows, and tree
 attributions against brute force."""
 
+import forest_brute as BRUTE
 import numpy as np
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -74,9 +76,9 @@ def test_tree_shap_matches_bruteforce_and_sums_to_gap():
     rng = np.random.default_rng(0)
     trees = [_rand_tree(rng, 5, 6) for _ in range(3)]
     x, bg = rng.random((6, 5)), rng.random((7, 5))
-    a = ATT.tree_shap(x, bg, trees)
-    assert np.abs(a - ATT.tree_shap_bruteforce(x, bg, trees)).max() < 1e-12
-    gap = ATT.tree_predict(x, trees) - ATT.tree_predict(bg, trees).mean()
+    a = BRUTE.tree_shap(x, bg, trees)
+    assert np.abs(a - BRUTE.tree_shap_bruteforce(x, bg, trees)).max() < 1e-12
+    gap = BRUTE.tree_predict(x, trees) - BRUTE.tree_predict(bg, trees).mean()
     assert np.abs(a.sum(axis=1) - gap).max() < 1e-12
 
 
@@ -93,7 +95,50 @@ def test_tree_shap_of_more_than_64_features():
     trees = [_rand_tree(rng, 200, 8) for _ in range(3)]
     assert max(len(set(t["feature"].tolist())) for t in trees) > 65  # the sets of one tree need several words
     x, bg = rng.random((4, 200)), rng.random((5, 200))
-    a = ATT.tree_shap(x, bg, trees)
-    assert np.abs(a - ATT.tree_shap_bruteforce(x, bg, trees)).max() < 1e-12
-    gap = ATT.tree_predict(x, trees) - ATT.tree_predict(bg, trees).mean()
+    a = BRUTE.tree_shap(x, bg, trees)
+    assert np.abs(a - BRUTE.tree_shap_bruteforce(x, bg, trees)).max() < 1e-12
+    gap = BRUTE.tree_predict(x, trees) - BRUTE.tree_predict(bg, trees).mean()
     assert np.abs(a.sum(axis=1) - gap).max() < 1e-12
+
+
+def _fit(spark, kind):
+    from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    rng = np.random.default_rng(1)
+    rows = [(i, *map(float, rng.integers(0, 6, 4)), None if i % 9 == 0 else float(rng.random())) for i in range(240)]
+    df = spark.createDataFrame(rows, "k int, a double, b double, `c.d` double, e double, f double")
+    df = df.withColumn("label", (F.col("a") + F.col("b") * F.coalesce("f", F.lit(0.0)) > 4).cast("int"))
+    names = ["a", "b", "c.d", "e", "f"]
+    plain = df.fillna(0.0).withColumnRenamed("c.d", "cd")
+    data = VectorAssembler(inputCols=["a", "b", "cd", "e", "f"], outputCol="features").transform(plain)
+    est = {"tree": DecisionTreeClassifier(maxDepth=6), "forest": RandomForestClassifier(numTrees=7, maxDepth=8, seed=1),
+           "boosted": GBTClassifier(maxIter=4, maxDepth=3, seed=1)}[kind]
+    return df, names, data, est.fit(data)
+
+
+@pytest.mark.parametrize("kind", ["tree", "forest", "boosted"])
+def test_attributions_of_fitted_models_sum_to_the_gap(spark, monkeypatch, kind):
+    from pyspark.ml.functions import vector_to_array
+
+    monkeypatch.setattr(ATT, "LEAVES_PER_GROUP", 11)  # several groups and blocks
+    monkeypatch.setattr(ATT, "ROWS_PER_BLOCK", 20)
+    df, names, data, model = _fit(spark, kind)
+    background = df.where("k < 30")
+    att = ATT.tree_attributions(df.where("k >= 200"), "k", names, model, background, top_k=None)
+    # the margin of boosting: half the raw score that the model reports
+    score = vector_to_array("rawPrediction")[1] if kind == "boosted" else vector_to_array("probability")[1]
+    scored = model.transform(data).select("k", score.alias("p"))
+    base = scored.where("k < 30").agg(F.avg("p").alias("base"))
+    rows = ATT.with_additivity(att, scored, base, "k").collect()
+    assert len(rows) == 40 * 5 and max(abs(r["gap"]) for r in rows) < 1e-9
+    assert sorted(r["importance_rank"] for r in rows) == sorted([1, 2, 3, 4, 5] * 40)
+    assert {r["feature_name"] for r in rows} == set(names) and all(r["feature_value"] is not None for r in rows)
+
+
+def test_background_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(ATT, "MAX_BACKGROUND", 10)
+    df, names, _, model = _fit(spark, "tree")
+    for rows in (df, df.limit(0)):
+        with pytest.raises(ValueError, match="background"):
+            ATT.tree_attributions(df, "k", names, model, rows)

@@ -31,7 +31,7 @@ _METRIC_COLS = ["model", "accuracy", "precision", "recall", "f1", "roc_auc", "pr
 
 
 def _memo(spark, d, key, build):
-    k = (id(spark), d, key)
+    k = (spark.sparkContext.applicationId, d, key)
     if k not in _MEMO:
         _MEMO[k] = build()
     return _MEMO[k]
@@ -200,12 +200,28 @@ def batch_score(spark, d):
     return classify(probs, "probability", th["watch_threshold"], th["high_threshold"])
 
 
-# ------------------------------------------------------------------ I4 trees
+# ------------------------------------------------------------------ I4 / I5 trees
+def forest_attributions(spark, d):
+    """All features' attributions of the test rows by the forest, against
+    ``BACKGROUND_ROWS`` md5-chosen train rows, with the additivity gap."""
+    def build():
+        p = prepared(spark, d)
+        m = model(spark, d, "random_forest")
+        bg = background_sample(p.part("train"), "machine_id", n=BACKGROUND_ROWS)
+        att = ATT.tree_attributions(p.part("test"), "machine_id", p.feature_columns, m.stages[-1], bg, top_k=None)
+        base = T.probabilities(m, bg, ["machine_id"]).agg(F.avg("p").alias("base"))
+        return cut_lineage(ATT.with_additivity(att, T.probabilities(m, p.part("test"), ["machine_id"]), base, "machine_id"))
+    return _memo(spark, d, ("forest_attributions",), build)
+
+
 @query("attribution_tree")
 def attribution_tree(spark, d):
-    """Forest attributions for the test rows against ``BACKGROUND_ROWS`` md5-chosen train rows."""
-    p = prepared(spark, d)
-    m = model(spark, d, "random_forest")
-    forest = m.stages[-1]
-    bg = background_sample(p.part("train"), "machine_id", n=BACKGROUND_ROWS)
-    return ATT.tree_attributions(p.part("test"), "machine_id", p.feature_columns, forest, bg)
+    """The top features of each test row; ``gap`` is Σφ − (f(x) − mean f(background))."""
+    found = forest_attributions(spark, d).where(F.col("importance_rank") <= ATT.TOP_K)
+    return found.withColumn("gap", F.round("gap", 6) + F.lit(0.0))
+
+
+@query("global_importance_forest")
+def global_importance_forest(spark, d):
+    """Mean |φ| of every feature over the test rows."""
+    return ATT.global_importance(forest_attributions(spark, d))
