@@ -142,3 +142,36 @@ def test_background_is_bounded(spark, monkeypatch):
     for rows in (df, df.limit(0)):
         with pytest.raises(ValueError, match="background"):
             ATT.tree_attributions(df, "k", names, model, rows)
+
+
+@pytest.mark.parametrize("held", [0, 100_000])
+def test_exact_percentiles_of_hard_columns(spark, monkeypatch, held):
+    """Ties, a hot value, NULLs, NaN, few rows: equal to ``percentile`` whether the
+    bracket is picked from directly or sorted by range."""
+    monkeypatch.setattr(P, "HELD", held)
+    rng = np.random.default_rng(2)
+    rows = [(float(rng.normal()), 5.0 if i % 3 else float(i), None if i % 2 else float(i % 7), float(i) if i < 3 else None, None, -0.0 if i % 2 else 0.0)
+            for i in range(3000)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, e double, f double").repartition(6)
+    probs = [0.0, 0.25, 0.5, 0.9, 0.999, 1.0]
+    names = [[f"{c}{j}" for j in range(len(probs))] for c in df.columns]
+    got = P.exact_percentiles(df, df.columns, probs, names).first()
+    want = df.agg(*[F.percentile(c, F.array(*[F.lit(p) for p in probs])).alias(c) for c in df.columns]).first()
+    for c, own in zip(df.columns, names, strict=True):
+        for j, n in enumerate(own):
+            assert got[n] is None if want[c] is None else got[n] == pytest.approx(want[c][j], abs=1e-12), (c, j)
+    assert all(v is None for v in P.exact_percentiles(df.limit(0), ["a"], [0.5], [["m"]]).first())
+
+
+def test_missed_bracket_is_widened(spark, monkeypatch):
+    df = spark.range(1000).select(F.col("id").cast("double").alias("x"))
+    seen = []
+    real = P._bracketed
+
+    def first_misses(frame, brackets, ranks):
+        seen.append({t: (lo, hi) for t, (_, lo, hi) in brackets.items()})
+        return {} if len(seen) < 3 else real(frame, brackets, ranks)
+
+    monkeypatch.setattr(P, "_bracketed", first_misses)
+    assert P.exact_quantiles(df, "x", [0.7], ["q"]).first()["q"] == pytest.approx(699.3)
+    assert len(seen) == 3 and seen[0][0][0] > seen[1][0][0] > seen[2][0][0]

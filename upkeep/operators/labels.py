@@ -107,9 +107,9 @@ def fit_thresholds(scores: DataFrame, score_col: str = "priority_score", watch_p
                    high_pct: float = 90.0, method: str = "exact") -> DataFrame:
     """One-row ``(watch_threshold, high_threshold)``: linear-interpolated percentiles.
 
-    ``exact`` (default) and ``positional`` = order statistics over distributed
-    running counts of the distinct scores (``positions.exact_percentiles``):
-    lazy, and safe for any number of distinct scores or a hot score;
+    ``exact`` (default) and ``positional`` = order statistics bracketed by a sketch
+    and counted out (``positions.exact_percentiles``): safe for any number of
+    distinct scores or a hot score;
     ``aggregate`` = Spark's ``percentile`` (its value→count map is merged in one
     task, so only for low-cardinality scores);
     ``approx`` = ``percentile_approx`` with a 1e-4 relative rank error.

@@ -17,10 +17,12 @@ because the order is total (ties broken by key columns).
 from __future__ import annotations
 
 import functools
+import math
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from upkeep.functions.columns import col_
 
@@ -114,75 +116,113 @@ def group_positions(df: DataFrame, group_cols: list[str], order: list[str | Colu
     return res.drop("cum___one")
 
 
+ACCURACY = 10_000
+MARGINS = (4.0 / ACCURACY, 0.02, 0.2)
+HELD = 100_000
+
+
 def exact_percentiles(df: DataFrame, columns: list[str], probs: list[float],
                       names: list[list[str]]) -> DataFrame:
-    """One-row frame of exact, linearly interpolated percentiles (the rule of
-    ``percentile``: h = (n-1)·p, value = a + (h - floor h)·(b - a)) for several
+    """One-row local frame of exact, linearly interpolated percentiles (the rule
+    of ``percentile``: h = (n-1)·p, value = a + (h - floor h)·(b - a)) for several
     columns at once; ``names[i][j]`` = column ``i`` at ``probs[j]``. NULLs are
-    ignored; an all-NULL column gives NULL.
-
-    Lazy, and no task ever holds more than its share of the values:
-
-    1. one ``(column, value, count)`` row per distinct value; map-side partial
-       aggregation collapses a hot value before the shuffle;
-    2. that table is range-partitioned and sorted by (column, value) once
-       (persisted); per-partition totals give each partition's span of global
-       positions, per-column totals each column's start;
-    3. the ≤ 2 order statistics per quantile lie in a handful of partitions,
-       found with a table of #columns × #probs targets (size fixed by the
-       arguments); running counts are taken only inside those partitions.
+    ignored; an all-NULL column gives NULL. Runs when called:
+
+    1. one aggregation: counts, extremes and a mergeable quantile sketch of every
+       column, which brackets each wanted order statistic between two values;
+    2. one counting pass: the values inside a bracket by value (map-side
+       combined, so a hot value is one row), and how many lie below it.
+
+    A few thousandths of the values lie in a bracket. Up to ``HELD`` distinct ones
+    are picked from directly; more are range-sorted (they alone), and the order
+    statistic is found from running counts. A bracket that misses its order
+    statistic is widened, in the end to the extremes.
     """
-    cells = [F.struct(F.lit(i).alias("__c"), F.col(c).cast("double").alias("__v")) for i, c in enumerate(columns)]
-    if len(cells) == 1:
-        long = df.select(cells[0].alias("__r")).select("__r.*")
+    cols = [F.col(c).cast("double") for c in columns]
+    asked = sorted({min(1.0, max(0.0, p + s * m)) for p in probs for m in MARGINS for s in (-1, 1)})
+    aggs = [a for i, c in enumerate(cols) for a in (
+        F.count(c).alias(f"n{i}"), F.min(c).alias(f"lo{i}"), F.max(c).alias(f"hi{i}"), F.percentile_approx(c, asked, ACCURACY).alias(f"q{i}"))]
+    fit = df.agg(*aggs).first()
+    wanted: dict[int, tuple[int, float]] = {}
+    for i in range(len(cols)):
+        for j, p in enumerate(probs):
+            if fit[f"n{i}"]:
+                wanted[i * len(probs) + j] = i, (fit[f"n{i}"] - 1) * float(p)
+    found: dict[int, tuple[float, float]] = {}
+    for level in range(len(MARGINS) + 1):
+        brackets = {}
+        for t, (i, _h) in wanted.items():
+            if t in found:
+                continue
+            p, n = float(probs[t % len(probs)]), fit[f"n{i}"]
+            least = sum(m < 2.0 / n for m in MARGINS)  # few rows: no narrower than two of them
+            wide = MARGINS[least + level] if least + level < len(MARGINS) else None
+            at = dict(zip(asked, fit[f"q{i}"], strict=True))
+            ends = (fit[f"lo{i}"], fit[f"hi{i}"]) if wide is None else (at[max(0.0, p - wide)], at[min(1.0, p + wide)])
+            brackets[t] = cols[i], *ends
+        if not brackets:
+            break
+        ranks = {t: (math.floor(wanted[t][1]), math.ceil(wanted[t][1])) for t in brackets}
+        found |= _bracketed(df, brackets, ranks)
+    row = []
+    for i in range(len(cols)):
+        for j in range(len(probs)):
+            t = i * len(probs) + j
+            if t not in wanted:
+                row.append(None)
+                continue
+            h, (a, b) = wanted[t][1], found[t]
+            row.append(a if math.floor(h) == math.ceil(h) else (math.ceil(h) - h) * a + (h - math.floor(h)) * b)
+    schema = T.StructType([T.StructField(names[i][j], T.DoubleType()) for i in range(len(cols)) for j in range(len(probs))])
+    return df.sparkSession.createDataFrame([tuple(row)], schema)
+
+
+def _bracketed(df: DataFrame, brackets: dict[int, tuple[Column, float, float]],
+               ranks: dict[int, tuple[int, int]]) -> dict[int, tuple[float, float]]:
+    """The values at two ranks (from 0) of each target whose bracket (column, low,
+    high) holds both; a target that its bracket misses is left out."""
+    cells = [F.when(c <= F.lit(hi), F.struct(F.lit(t).alias("__c"), F.when(c >= F.lit(lo), c).alias("__v"))) for t, (c, lo, hi) in brackets.items()]
+    long = df.select(F.explode(F.filter(F.array(*cells), lambda x: x.isNotNull())).alias("__r")).select("__r.*")
+    per = long.groupBy("__c", "__v").agg(F.count(F.lit(1)).alias("__k"))  # a NULL value: what lies below the bracket
+    rows = per.limit(HELD + 1).collect()
+    if len(rows) > HELD:
+        picked = _selected(per, ranks)
     else:
-        long = df.select(F.explode(F.array(*cells)).alias("__r")).select("__r.*")
-    per = long.where(F.col("__v").isNotNull()).groupBy("__c", "__v").agg(F.count(F.lit(1)).alias("__k"))
+        picked = {}
+        for r in sorted(rows, key=lambda r: (r["__c"], r["__v"] is not None, r["__v"] is not None and math.isnan(r["__v"]), r["__v"] or 0.0)):
+            t, before = r["__c"], picked.get(r["__c"], (0, [None, None]))
+            for x, rank in enumerate(ranks[t]):
+                if before[0] <= rank < before[0] + r["__k"]:
+                    before[1][x] = r["__v"]
+            picked[t] = before[0] + r["__k"], before[1]
+        picked = {t: tuple(v) for t, (_n, v) in picked.items()}
+    return {t: v for t, v in picked.items() if None not in v}
+
+
+def _selected(per: DataFrame, ranks: dict[int, tuple[int, int]]) -> dict[int, tuple[float, float]]:
+    """The same from a table (target, value, count) of any size: sorted by range,
+    running counts only in the partitions that hold a wanted rank."""
     tagged = _sorted_tagged(per, [F.col("__c"), F.col("__v")], None)
-
-    # one pass over the sorted table: totals per (partition, column), ≤ #partitions × #columns rows;
-    # column c holds global positions (start_c, start_c + n_c], partition p (off_p, off_p + total_p]
+    # totals per (partition, target): position p of target c is start_c + p of the whole table
     cells_t = tagged.groupBy(_PID, "__c").agg(F.sum("__k").alias("__pk"))
-    cols = cells_t.groupBy("__c").agg(F.sum("__pk").alias("__n"))
-    cols = cols.withColumn("__s", F.coalesce(
-        F.sum("__n").over(Window.orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    prob_rows = F.array(*[F.struct(F.lit(j).alias("__j"), F.lit(float(p)).alias("__p")) for j, p in enumerate(probs)])
-    tgt = cols.select("__c", "__n", "__s", F.explode(prob_rows).alias("__t"))
-    h = (F.col("__n") - 1).cast("double") * F.col("__t.__p")
-    tgt = tgt.select("__c", F.col("__t.__j").alias("__j"), h.alias("__h"), F.floor(h).alias("__lo"),
-                     F.ceil(h).alias("__hi"), (F.col("__s") + F.floor(h) + 1).alias("__gl"),
-                     (F.col("__s") + F.ceil(h) + 1).alias("__gh"))
+    starts, total = {}, 0
+    for r in sorted(cells_t.groupBy("__c").agg(F.sum("__pk").alias("__n")).collect(), key=lambda r: r["__c"]):  # a row per target
+        starts[r["__c"]], total = total, total + r["__n"]
+    goals = sorted({(t, x, starts[t] + rank + 1) for t, pair in ranks.items() if t in starts for x, rank in enumerate(pair)})
+    goal = per.sparkSession.createDataFrame(goals, "__t int, __x int, __g long")
     parts = cells_t.groupBy(_PID).agg(F.sum("__pk").alias("__pk"))
-    parts = parts.select(_PID, F.coalesce(F.sum("__pk").over(
-        Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__ps"), "__pk")
-    parts = parts.withColumn("__pe", F.col("__ps") + F.col("__pk"))
-
-    def inside(pos: Column, lo: Column, hi: Column) -> Column:
-        return (pos > lo) & (pos <= hi)
-
-    wanted = parts.join(F.broadcast(tgt), inside(F.col("__gl"), F.col("__ps"), F.col("__pe"))
-                        | inside(F.col("__gh"), F.col("__ps"), F.col("__pe")))
-    wanted = wanted.select(_PID, "__ps").distinct()  # ≤ 2 · #columns · #probs rows
+    before = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
+    parts = parts.select(_PID, F.coalesce(F.sum("__pk").over(before), F.lit(0)).alias("__ps"), "__pk")
+    holds = parts.join(F.broadcast(goal), (F.col("__g") > F.col("__ps")) & (F.col("__g") <= F.col("__ps") + F.col("__pk")))
+    holds = holds.select(_PID, "__ps").distinct()
     run_w = Window.partitionBy(_PID).orderBy(_IDX).rowsBetween(Window.unboundedPreceding, 0)
-    rows = tagged.join(F.broadcast(wanted), _PID).select(
-        "__c", "__v", "__k", (F.col("__ps") + F.sum("__k").over(run_w)).alias("__g"))
-
-    def covers(pos: Column) -> Column:  # row holds global positions (g - k, g]
-        return inside(pos, F.col("__g") - F.col("__k"), F.col("__g"))
-
-    hit = rows.join(F.broadcast(tgt), "__c").where(covers(F.col("__gl")) | covers(F.col("__gh")))
-    picked = hit.groupBy("__c", "__j").agg(
-        F.max(F.when(covers(F.col("__gl")), F.col("__v"))).alias("__a"),
-        F.max(F.when(covers(F.col("__gh")), F.col("__v"))).alias("__b"),
-        F.max("__h").alias("__h"), F.max("__lo").alias("__lo"), F.max("__hi").alias("__hi"))
-    a, b, hh = F.col("__a"), F.col("__b"), F.col("__h")
-    value = F.when(F.col("__lo") == F.col("__hi"), a).otherwise(
-        (F.col("__hi") - hh) * a + (hh - F.col("__lo")) * b)
-    picked = picked.select("__c", "__j", value.alias("__q"))
-    return picked.agg(*[
-        F.max(F.when((F.col("__c") == i) & (F.col("__j") == j), F.col("__q"))).alias(names[i][j])
-        for i in range(len(columns)) for j in range(len(probs))
-    ])
+    rows = tagged.join(F.broadcast(holds), _PID).select("__c", "__v", "__k", (F.col("__ps") + F.sum("__k").over(run_w)).alias("__e"))
+    hit = rows.join(F.broadcast(goal), (F.col("__c") == F.col("__t")) & (F.col("__g") > F.col("__e") - F.col("__k")) & (F.col("__g") <= F.col("__e")))
+    out: dict[int, list[float | None]] = {t: [None, None] for t in ranks}
+    for r in hit.select("__t", "__x", "__v").collect():  # two rows a target
+        out[r["__t"]][r["__x"]] = r["__v"]
+    tagged.unpersist()
+    return {t: tuple(v) for t, v in out.items()}
 
 
 def fitted_row(df: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ MODULES = [
     "upkeep.plans.q_features",
     "upkeep.plans.q_model",
     "upkeep.plans.q_serving",
+    "upkeep.plans.q_lifecycle",
     "upkeep.plans.q_sources",
     "upkeep.plans.q_train",
     "upkeep.plans.q_streaming",

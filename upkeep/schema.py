@@ -190,3 +190,21 @@ EXPERIMENT_RUNS_SCHEMA = T.StructType([
     T.StructField("metrics_json", T.StringType(), True),
     T.StructField("run_timestamp", T.TimestampNTZType(), True),
 ])
+DATASETS_SCHEMA = T.StructType([
+    T.StructField("name", T.StringType(), False),
+    T.StructField("source_filename", T.StringType(), True),
+    T.StructField("row_count", T.LongType(), True),
+    T.StructField("column_count", T.LongType(), True),
+    T.StructField("machine_count", T.LongType(), True),
+    T.StructField("status", T.StringType(), True),
+])
+MAPPINGS_SCHEMA = T.StructType([
+    T.StructField("dataset", T.StringType(), False),
+    T.StructField("field", T.StringType(), False),
+    T.StructField("column_name", T.StringType(), True),
+])
+SERVING_TABLES = {
+    "datasets": DATASETS_SCHEMA, "mappings": MAPPINGS_SCHEMA, "machines": MACHINES_SCHEMA, "model_versions": MODEL_VERSIONS_SCHEMA,
+    "experiment_runs": EXPERIMENT_RUNS_SCHEMA, "predictions": PREDICTIONS_SCHEMA, "prediction_explanations": EXPLANATIONS_SCHEMA,
+    "alerts": ALERTS_SCHEMA,
+}
