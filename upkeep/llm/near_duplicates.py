@@ -54,7 +54,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from upkeep.llm.components import components
-from upkeep.llm.storage import check_columns, written
+from upkeep.llm.storage import check_columns, handed_back, written
 from upkeep.llm.words import mix, runs, windows
 
 SKETCH = 64
@@ -92,6 +92,7 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
                 batch.column(0), pa.array(count, pa.int64()), pa.array(np.array(one, np.uint64).view(np.int64)),
                 pa.array(np.array(two, np.uint64).view(np.int64)), pa.array(low, pa.list_(pa.int64())),
             ], ["doc_id", "n_shingles", "sig1", "sig2", "sketch"])
+        handed_back()
 
     return docs.mapInArrow(run, "doc_id long, n_shingles long, sig1 long, sig2 long, sketch array<long>")
 
@@ -100,6 +101,7 @@ def full_sets(docs: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_signed(s) for s in _sets(batch.column(1), size)], pa.list_(pa.int64()))], ["doc", "shingles"])
+        handed_back()
 
     return docs.mapInArrow(run, "doc long, shingles array<long>")
 

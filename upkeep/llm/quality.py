@@ -33,13 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from upkeep.llm.storage import check_columns
+from upkeep.llm.storage import check_columns, handed_back
 from upkeep.llm.words import runs
 
 BITS = 18
 SAMPLE = 8_000
 LEAST, SHARE = 8, 0.02
 MEMO_WORDS = 200_000
+SLICE = 1000
 ROUNDS, MOST_ROUNDS, STEPS = 120, 400, 240_000
 KEEP = 0.2
 LONG = 20
@@ -238,7 +239,12 @@ def kept_documents(docs: DataFrame, model: Model, cut: int = 2, text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = model.dense()
         for batch in batches:
-            yield batch.filter(pa.array(_scores(batch.column(batch.schema.names.index(text_col)), model, weights)[:, cut - 1] >= KEEP))
+            at = batch.schema.names.index(text_col)
+            for lo in range(0, batch.num_rows, SLICE):
+                part = batch.slice(lo, SLICE)
+                yield part.filter(pa.array(_scores(part.column(at), model, weights)[:, cut - 1] >= KEEP))
+        _table().clear()  # the worker's next task may be of another operator
+        handed_back()
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from upkeep.llm.storage import check_columns
+from upkeep.llm.storage import check_columns, handed_back
 
 SPACE = "▁"
 MEMO_WORDS = 150_000
@@ -261,6 +261,12 @@ class PieceModel:
             self.young[segment] = entry
         return entry
 
+    def rest(self) -> None:
+        """Keep only the young words between partitions: the worker's next task may
+        be of another operator."""
+        self.old = {}
+        self.pairs.clear()
+
     def encode(self, text: str) -> list[int]:
         return [i for s in self.cut(text) for i in self.segment(s)] + [self.end_id]
 
@@ -287,6 +293,8 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
                 rows = [_encode_row(model, t.as_py() or "", with_ids) for t in part.column(1)]
                 columns = [part.column(0), *(pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), fields, strict=True))]
                 yield pa.RecordBatch.from_arrays(columns, names)
+        model.rest()
+        handed_back()
 
     fields = [pa.field("n_tokens", pa.int64()), pa.field("ids_sha256", pa.string()), pa.field("decoded_sha256", pa.string())]
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"

@@ -7,10 +7,12 @@ outlives lost executors and no two runs meet.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from upkeep.session import checkpoint_dir
@@ -56,3 +58,15 @@ def release(spark: SparkSession) -> None:
     of several large steps call this in between to keep the peak to one step."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def handed_back() -> None:
+    """In a Python worker, at the end of a heavy partition: give freed memory back to
+    the system. Workers live on for other operators' tasks, and the C library and
+    Arrow would keep it for them."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not the GNU C library
+        pass

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from upkeep.llm.storage import check_columns, release, written
+from upkeep.llm.storage import check_columns, handed_back, release, written
 from upkeep.llm.words import Words, runs, windows
 
 GRAM = 7
@@ -137,6 +137,7 @@ def anchors(docs: DataFrame, length: int) -> DataFrame:
                     new[1:] = (least[1:] != least[:-1]) | (text[1:] != text[:-1])
                     rows = lo + text[new]
                     yield pa.RecordBatch.from_arrays([pa.array(least[new].view(np.int64)), pa.array(uid[rows]), pa.array(ids[rows])], ["anchor", "uid", "doc_id"])
+        handed_back()
 
     return docs.where("doc_id IS NOT NULL").select("uid", "doc_id", "text").mapInArrow(run, "anchor long, uid long, doc_id long")
 
