@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from upkeep.functions.columns import micros
 from upkeep.operators.labels import extra_numeric_columns
+from upkeep.operators.timeseries import lag_rolling_columns
 from upkeep.schema import CATEGORICAL_FIELDS, COMPLIANCE_FIELDS, DEFAULT_FEATURE_GROUPS, RECENCY_COLUMNS
 
 RATIO_COLUMNS = ["pm_overdue_ratio", "wo_overdue_ratio", "downtime_per_completed_wo", "pm_compliance_rate"]
@@ -69,6 +70,12 @@ def _empty(df: DataFrame, **_: object) -> list[Column]:
     return []
 
 
+def lag_features(df: DataFrame, **_: object) -> list[Column]:
+    """Per-machine lags and rolling statistics of the sensors; none without a
+    machine, a timestamp or a sensor."""
+    return lag_rolling_columns(df)
+
+
 GROUP_BUILDERS: dict[str, Callable[..., list[Column]]] = {
     "raw": raw_features,
     "temporal": recency_features,
@@ -76,19 +83,18 @@ GROUP_BUILDERS: dict[str, Callable[..., list[Column]]] = {
     "events": _empty,
     "frequency": _empty,
     "extra": extra_features,
+    "lags": lag_features,
 }
 
 
 def feature_columns(df: DataFrame, groups: list[str] | None = None) -> list[Column]:
     """Registry name → builder; unknown → error."""
     groups = groups or DEFAULT_FEATURE_GROUPS
-    unknown = set(groups) - set(GROUP_BUILDERS) - {"lags"}
+    unknown = set(groups) - set(GROUP_BUILDERS)
     if unknown:
         raise ValueError(f"Unknown feature group(s): {unknown}")
     cols: list[Column] = []
     for g in groups:
-        if g == "lags":
-            continue  # per-machine windows: see timeseries.lag_rolling
         cols += GROUP_BUILDERS[g](df)
     return cols
 

@@ -87,16 +87,16 @@ def type_by_inference(df: DataFrame) -> DataFrame:
     out = []
     for c in df.columns:
         if classes[c] == "numeric" and not _is_numeric(types[c]):
-            out.append(to_double(F.col(c), types[c]).alias(c))
+            out.append(to_double(F.col(f"`{c}`"), types[c]).alias(c))
         else:
-            out.append(F.col(c))
+            out.append(F.col(f"`{c}`"))
     return df.select(*out)
 
 
 # ------------------------------------------------------------------ P5
 def missingness(df: DataFrame) -> DataFrame:
     """``(column_name, missing_pct)``: round(100·mean(isnull), 2); empty → 0.0."""
-    aggs = [F.avg(F.col(c).isNull().cast("double")).alias(f"__m{i}") for i, c in enumerate(df.columns)]
+    aggs = [F.avg(F.col(f"`{c}`").isNull().cast("double")).alias(f"__m{i}") for i, c in enumerate(df.columns)]
     wide = df.agg(*aggs)
     rows = [
         F.struct(F.lit(c).alias("column_name"),
@@ -116,7 +116,7 @@ def column_profile(df: DataFrame) -> DataFrame:
     """
     cols = df.columns
     types = dtypes(df)
-    text = {c: F.col(c).cast("string") for c in cols}
+    text = {c: F.col(f"`{c}`").cast("string") for c in cols}
     p1 = stripped_view(df).agg(
         F.count(F.lit(1)).alias("__n"),
         *dtype_class_aggs(df),
@@ -213,7 +213,7 @@ def detect_id_like(df: DataFrame, top_share: float = 0.9) -> DataFrame:
     spark = df.sparkSession
     if str_cols:
         long = df.select(F.explode(F.array(*[
-            F.struct(F.lit(c).alias("column_name"), F.col(c).alias("v")) for c in str_cols
+            F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").alias("v")) for c in str_cols
         ])).alias("r")).select("r.*").where(F.col("v").isNotNull())
         per_value = long.groupBy("column_name", "v").agg(F.count(F.lit(1)).alias("cnt"))
         stats = per_value.groupBy("column_name").agg(

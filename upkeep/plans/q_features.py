@@ -267,15 +267,15 @@ def rolling_std(spark, d):
     return _roll(spark, d, "rolling_std")
 
 
-def _trend(spark, d, suffix):
-    t = W.trend(_tel(spark, d), SENSORS, key_cols=KEY)
+def _trend(spark, d, part, suffix):
+    t = W.trend(_tel(spark, d), SENSORS, key_cols=KEY, parts=(part,))
     return t.select("event_id", *[r6(F.col(c)).alias(c) for c in t.columns if c.endswith(suffix)])
 
 
 @query("trend_diff", with_ctes(["telemetry"], "SELECT event_id, " + ", ".join(
     f"round({s} - lag({s}, 1) OVER ({_WSPEC}), 6) AS {s}_diff_1" for s in SENSORS) + " FROM telemetry"))
 def trend_diff(spark, d):
-    return _trend(spark, d, "_diff_1")
+    return _trend(spark, d, "diff", "_diff_1")
 
 
 @query("trend_pct_change", with_ctes(["telemetry"], "SELECT event_id, " + ", ".join(
@@ -284,7 +284,7 @@ def trend_diff(spark, d):
         f"last_value({s} IGNORE NULLS) OVER ({_WSPEC} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ff_{s}"
         for s in SENSORS) + " FROM telemetry")]))
 def trend_pct_change(spark, d):
-    return _trend(spark, d, "_pct_change_1")
+    return _trend(spark, d, "pct_change", "_pct_change_1")
 
 
 def _ewma_sql(span: int = 6) -> str:
@@ -314,7 +314,7 @@ SELECT event_id, {", ".join(f"round(y_{s}, 6) AS {s}_ewma_{span}" for s in SENSO
 
 @query("trend_ewma", _ewma_sql())
 def trend_ewma(spark, d):
-    return _trend(spark, d, "_ewma_6")
+    return _trend(spark, d, "ewma", "_ewma_6")
 
 
 SEQ_LEN = 24
