@@ -6,7 +6,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from upkeep.schema import DATE_FORMATS, NULL_TOKENS
@@ -93,6 +93,51 @@ def parse_timestamp(c: str | Column, dtype: str = "string", formats: Iterable[st
     return F.coalesce(*tries).cast("timestamp_ntz")
 
 
+# Shapes of mixed dates: a date in front, a time of day behind it (or nothing). Each
+# shape is rewritten as year-month-day by the places of its three groups.
+_TIME = r"(?:[ T]+\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?\s*(?:Z|[+-]\d{2}:?\d{2})?)?$"
+_DATE_SHAPES = [
+    (r"(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})", "$1-$2-$3"),
+    (r"(\d{4})(\d{2})(\d{2})", "$1-$2-$3"),
+    (r"(\d{1,2})/(\d{1,2})/(\d{4})", "$3-$1-$2"),
+    (r"(\d{1,2})\.(\d{1,2})\.(\d{4})", "$3-$2-$1"),
+    (r"([A-Za-z]{3,9})\.? (\d{1,2}),? (\d{4})", "$3-$1-$2"),
+    (r"(\d{1,2})[ -]([A-Za-z]{3,9})\.?[ ,-]\s*(\d{4})", "$3-$2-$1"),
+]
+_MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
+
+
+def parse_mixed(c: str | Column, stripped: bool = False) -> Column:
+    """Dates in mixed spellings, one rule per shape: year, month and day in the order
+    of the shape, month names in full or in three letters, an optional time of day
+    with fraction (to the microsecond) and offset (the result is then in UTC). What
+    has no shape, or is no date of the calendar, is NULL; ``date_failures`` counts it."""
+    s = col_(c).cast("string")
+    s = s if stripped else strip_ws(s)
+    plain = s
+    for shape, order in _DATE_SHAPES[1:]:
+        plain = F.regexp_replace(plain, rf"^{shape}(?={_TIME})", order)
+    plain = F.regexp_replace(plain, r"^(\d{4})[/.](\d{1,2})[/.]", "$1-$2-")
+    for i, name in enumerate(_MONTHS):
+        plain = F.regexp_replace(plain, rf"(?i)^(\d{{4}})-(?:{name}|{name[:3]})-", f"$1-{i + 1}-")
+    plain = F.regexp_replace(plain, r"(:\d{2}(?:\.\d+)?)\s*([+-]\d{2}):?(\d{2})$", "$1$2:$3")
+    known = s.rlike("^(?:" + "|".join(shape for shape, _ in _DATE_SHAPES) + ")" + _TIME)
+    return F.when(known, plain.try_cast("timestamp").cast("timestamp_ntz"))
+
+
+def date_mask(c: str | Column) -> Column:
+    """A text's shape: digits as 9, letters as a, runs of letters as one."""
+    return F.regexp_replace(F.regexp_replace(strip_ws(col_(c).cast("string")), r"[0-9]", "9"), r"\p{L}+", "a")
+
+
+def date_failures(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column_name, mask, n, example) of the texts that are no dates, by shape; the
+    counts are combined map-side, so a frequent shape is one row."""
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("v")) for c in columns])).alias("r")
+    long = df.select(cells).select("r.*").where(F.trim("v") != "").where(parse_mixed("v").isNull())
+    return long.groupBy("column_name", date_mask("v").alias("mask")).agg(F.count("*").alias("n"), F.min("v").alias("example"))
+
+
 def micros(ts: str | Column) -> Column:
     """Long time axis (µs since epoch) for range frames on timestamp_ntz."""
     return F.unix_micros(col_(ts).cast("timestamp"))

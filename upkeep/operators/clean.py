@@ -7,7 +7,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from upkeep.functions.columns import clean_text, parse_timestamp, strip_ws, to_double
+from upkeep.functions.columns import clean_text, parse_mixed, parse_timestamp, strip_ws, to_double
 from upkeep.operators.positions import exact_percentiles, fitted_row
 from upkeep.operators.profile import missingness
 from upkeep.schema import COMPLIANCE_FIELDS, DATE_FIELDS, TEXT_FIELDS, UNKNOWN_LABEL
@@ -27,7 +27,7 @@ def clean(df: DataFrame) -> DataFrame:
         elif c in COMPLIANCE_FIELDS:
             out.append(to_double(F.col(c), types[c]).alias(c))
         elif c in DATE_FIELDS:
-            out.append(parse_timestamp(F.col(c), types[c], stripped=True).alias(c))
+            out.append((parse_mixed(F.col(c), stripped=True) if types[c] == "string" else parse_timestamp(F.col(c), types[c])).alias(c))
         else:
             out.append(F.col(c))
     return df.select(*out)
