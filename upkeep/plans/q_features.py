@@ -14,6 +14,7 @@ from upkeep.plans.bindings import processed_export, standard_telemetry
 from upkeep.plans.oracle import with_ctes
 from upkeep.plans.registry import query
 from upkeep.schema import COMPLIANCE_FIELDS, DEFAULT_WEIGHTS, FIELD_DICTIONARY
+from upkeep.sources.files import scratch_path
 from upkeep.sources.testdata import telemetry
 
 DATASETS = [("processed_export", processed_export), ("standard_telemetry", standard_telemetry)]
@@ -173,13 +174,8 @@ def _train_rows(df):
     return df.where(md5_order(42, "machine_id") < F.lit(_TRAIN_CUT))
 
 
-def _onehot_long(df, cats):
-    wide = df.select("machine_id", *X.onehot_columns(cats))
-    names = [c for c in wide.columns if c != "machine_id"]
-    if not names:
-        return df.sparkSession.createDataFrame([], "machine_id string, feature string")
-    long = wide.unpivot(["machine_id"], names, "feature", "value")
-    return long.where(F.col("value") == 1.0).select("machine_id", "feature")
+def _category_table(spark, p):
+    return X.category_table(_train_rows(p), _CATS, scratch_path(spark, "categories"))
 
 
 _ONEHOT_SQL = with_ctes(["processed_export"], "SELECT p.machine_id, t.col || '_' || t.v AS feature FROM processed_export p "
@@ -194,8 +190,8 @@ _ONEHOT_SQL = with_ctes(["processed_export"], "SELECT p.machine_id, t.col || '_'
 @query("onehot_encode", _ONEHOT_SQL)
 def onehot_encode(spark, d):
     p = processed_export(spark, d)
-    cats = X.fit_categories(_train_rows(p), _CATS)
-    return _onehot_long(p, cats)
+    active = X.with_categories(p.select("machine_id", *_CATS), _category_table(spark, p), _CATS)
+    return active.select("machine_id", F.explode("active.name").alias("feature"))
 
 
 _KEEP_NUM = ["total_completed_pms", "total_completed_wos", "total_cost"]
@@ -220,13 +216,11 @@ SELECT p.machine_id, {_NUM_SQL},
 FROM processed_export p LEFT JOIN active o ON o.machine_id = p.machine_id""", [_CATS_CTE, _ACTIVE_CTE]))
 def feature_matrix(spark, d):
     p = processed_export(spark, d)
-    cats = X.fit_categories(_train_rows(p), _CATS)
     drop = list(DEFAULT_WEIGHTS) + X.RATIO_COLUMNS
-    m = X.feature_matrix(p, cats, ["raw", "temporal", "extra"], drop, keep=["machine_id"])
-    onehot = [c for c in m.columns if any(c.startswith(f"{k}_") for k in _CATS)]
-    active = F.array_join(F.array_sort(F.filter(F.array(*[
-        F.when(F.col(f"`{c}`") == 1.0, F.lit(c)) for c in onehot]), lambda x: x.isNotNull())), "|")
-    return m.select(*[c for c in m.columns if c not in onehot], active.alias("onehot_active"))
+    m = X.feature_matrix(p, {}, ["raw", "temporal", "extra"], drop, keep=["machine_id", *_CATS])
+    m = X.with_categories(m, _category_table(spark, p), _CATS)
+    names = F.array_join(F.array_sort("active.name"), "|")
+    return m.select(*[c for c in m.columns if c not in (*_CATS, "active")], names.alias("onehot_active"))
 
 
 # ------------------------------------------------------------------ W (telemetry)

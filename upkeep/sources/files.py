@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from upkeep.session import checkpoint_dir
+from upkeep.sources import csv_records
 
 UNNAMED = re.compile(r"^(_c\d+|)$")
 METRIC_NAMES = ["accuracy", "precision", "recall", "f1", "roc_auc", "pr_auc"]
@@ -42,20 +43,24 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite", null_value: str
     return path
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
-             null_value: str | None = None, multi_line: bool = False) -> DataFrame:
-    """Whole-file CSV scan; a quote inside a quoted field is doubled. ``multi_line``
-    reads quoted line breaks (a file is then one task). Without a schema every column is read as text, so
-    one later aggregation pass (P2 / M6) decides the types."""
-    r = spark.read.option("header", "true").option("ignoreLeadingWhiteSpace", "false") \
-        .option("ignoreTrailingWhiteSpace", "false").option("escape", '"').option("multiLine", multi_line)
-    if null_value is not None:
-        r = r.option("nullValue", null_value)
-    if schema is not None:
-        r = r.schema(schema)
-    else:
-        r = r.option("inferSchema", "false")
-    return r.csv(path)
+CSV_READ = {"header": "true", "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+
+
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
+             null_value: str | None = None, multi_line: bool = True) -> DataFrame:
+    """Whole-file CSV scan; a quote inside a quoted field is doubled. Without a schema
+    every column is read as text, so one later aggregation pass (P2 / M6) decides the
+    types. ``multi_line``: a first pass looks for quoted fields that hold line breaks;
+    files with some are cut into records by all tasks (``csv_records``), others are
+    read by Spark line by line."""
+    options = CSV_READ | ({} if null_value is None else {"nullValue": null_value})
+    reader = spark.read.options(**options)
+    splits = csv_records.split_summaries(spark, path) if multi_line else None
+    if splits is None or splits.where("opens").isEmpty():
+        return (reader if schema is None else reader.schema(schema)).csv(path)
+    schema = schema or reader.option("multiLine", "true").csv(path).schema
+    fields = F.from_csv("value", schema.toDDL(), options | {"multiLine": "true"})
+    return csv_records.records(spark, path, splits).select(fields.alias("r")).select("r.*")
 
 
 # ------------------------------------------------------------------ S3
@@ -74,21 +79,24 @@ def validate_source(spark: SparkSession, path: str, extensions: tuple[str, ...]
 
 
 def bad_record_report(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Rows that do not fit ``schema``, counted in one pass: the file is scanned as
-    text; a row with fewer or more fields than the header, or with a non-empty
-    value that does not cast to its type, is bad."""
-    header = read_csv(spark, path)
+    """Records that do not fit ``schema``, counted in one pass over them as text: one with
+    fewer or more fields than the header, or with a non-empty value that does not cast
+    to its type, is bad. A line break in a quoted field is part of its record."""
     corrupt = "__corrupt"
-    plain = T.StructType([T.StructField(c, T.StringType()) for c in header.columns] + [T.StructField(corrupt, T.StringType())])
-    text = (spark.read.schema(plain).option("header", "true").option("columnPruning", "false").option("escape", '"').option("columnNameOfCorruptRecord", corrupt)
-            .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(path))
+    splits = csv_records.split_summaries(spark, path)
+    options = CSV_READ | {"columnNameOfCorruptRecord": corrupt}
+    names = spark.read.options(**options, multiLine="true").csv(path).columns
+    plain = T.StructType([T.StructField(c, T.StringType()) for c in [*names, corrupt]])
+    if splits.where("opens").isEmpty():
+        text = spark.read.schema(plain).options(**options, columnPruning="false").csv(path)
+    else:
+        fields = F.from_csv("value", plain.toDDL(), options | {"multiLine": "true", "columnPruning": "false"})
+        text = csv_records.records(spark, path, splits).select(fields.alias("r")).select("r.*")
     bad = F.col(corrupt).isNotNull()
-    for f, c in zip(schema.fields, text.columns):
-        if isinstance(f.dataType, T.StringType):
-            continue
-        fails = F.col(f"`{c}`").isNotNull() & (F.trim(F.col(f"`{c}`")) != "") \
-            & F.col(f"`{c}`").try_cast(f.dataType).isNull()
-        bad = bad | fails
+    for f, c in zip(schema.fields, names):
+        if not isinstance(f.dataType, T.StringType):
+            value = F.col(f"`{c}`")
+            bad = bad | (value.isNotNull() & (F.trim(value) != "") & value.try_cast(f.dataType).isNull())
     return text.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(bad).alias("n_bad_rows"))
 
 
