@@ -54,7 +54,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from upkeep.llm.components import components
-from upkeep.llm.storage import check_columns, handed_back, written
+from upkeep.llm.storage import check_columns, handed_back, small_batches, written
 from upkeep.llm.words import mix, runs, windows
 
 SKETCH = 64
@@ -168,7 +168,8 @@ def link_classes(classes: DataFrame, docs: DataFrame, size: int, percent: int) -
     # full sets of the classes in lists, bucketed: no comparison shuffles them again
     table = f"near_sets_{uuid.uuid4().hex}"
     texts = docs.join(involved.withColumnRenamed("doc", "doc_id"), "doc_id", "left_semi").select("doc_id", "text")
-    full_sets(texts, size).write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc").format("parquet").saveAsTable(table)
+    with small_batches(spark):
+        full_sets(texts, size).write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc").format("parquet").saveAsTable(table)
     try:
         found = list(_rounds(lists, classes, spark.table(table), percent))
     finally:
@@ -290,7 +291,8 @@ def _numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, b
 def _labelled(numbered: DataFrame, repeated: bool, size: int, percent: int) -> DataFrame:
     """uid, doc_id, n_shingles, component_id and kept of the rows of ``_numbered``."""
     docs = numbered.select(F.when(F.col("doc_id").isNotNull(), F.col("uid")).alias("doc_id"), "text")
-    rows = written(sketches(docs, size), "sketches")
+    with small_batches(docs.sparkSession):
+        rows = written(sketches(docs, size), "sketches")
     full = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
     key = ["n_shingles", "sig1", "sig2"]
     grouped = written(full.groupBy(key).agg(F.min("doc_id").alias("doc"), F.any_value("sketch").alias("sketch"), F.count("*").alias("copies")), "classes")

@@ -7,10 +7,12 @@ outlives lost executors and no two runs meet.
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import gc
 import re
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -46,6 +48,19 @@ def mounted(path: str) -> str:
     raise ValueError(f"memory-mapped files need a shared mounted folder, got {path}")
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, size: str = "4m") -> Iterator[None]:
+    """Arrow batches of about ``size`` bytes to Python workers, for steps that run at
+    once inside: an executor holds a batch twice, and the worker its arrays besides."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def check_columns(df: DataFrame, *names: str) -> None:
     missing = [n for n in names if n not in df.columns]
     if missing:
