@@ -145,10 +145,11 @@ def column_profile(df: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ P3 / C4
 def duplicate_count(df: DataFrame) -> DataFrame:
-    """``(n_rows, n_distinct, n_duplicates)``; nulls compare equal."""
-    total = df.agg(F.count(F.lit(1)).alias("n_rows"))
-    distinct = df.distinct().agg(F.count(F.lit(1)).alias("n_distinct"))
-    return total.crossJoin(distinct).withColumn("n_duplicates", F.col("n_rows") - F.col("n_distinct"))
+    """``(n_rows, n_distinct, n_duplicates)``; nulls compare equal. One scan: the size of
+    each group of equal rows gives all three, counted map-side."""
+    groups = df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count(F.lit(1)).alias("__n"))
+    counts = groups.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("n_rows"), F.count(F.lit(1)).alias("n_distinct"))
+    return counts.withColumn("n_duplicates", F.col("n_rows") - F.col("n_distinct"))
 
 
 # ------------------------------------------------------------------ P4 / S2
