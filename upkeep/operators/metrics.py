@@ -1,9 +1,9 @@
 """Evaluation over a scored table.
 
 Input: a long table ``(model, y, p)`` (one row per scored row and model).
-Threshold metrics are single aggregations; ranking metrics go through a
-per-model table of distinct scores and distributed prefix sums (no
-single-task window, no sort of the raw rows in one place):
+Threshold metrics are single aggregations; ranking metrics and curves go
+through one histogram of (model, score) and its running counts (no single-task
+window, no sort of the raw rows, no join on the model):
 
 * ROC-AUC = Σ neg·(tp_before + pos/2) / (P·N)   (ties count half)
 * AP      = Σ (pos/P) · precision_at_threshold  (step rule, ties grouped)
@@ -11,10 +11,10 @@ single-task window, no sort of the raw rows in one place):
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from upkeep.operators.positions import prefix_sums
+from upkeep.session import cut_lineage
 
 
 def _zdiv(a, b):
@@ -43,82 +43,103 @@ def threshold_metrics(cm: DataFrame) -> DataFrame:
     )
 
 
+def score_histogram(df: DataFrame, group: list[str], y: str = "y", p: str = "p") -> DataFrame:
+    """``pos`` and ``neg`` rows per group and distinct score, combined map-side: all
+    that E1-E6 need of the rows."""
+    return df.groupBy(*group, p).agg(F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) == 0).alias("neg"))
+
+
 def score_table(df: DataFrame, group: list[str], y: str = "y", p: str = "p") -> DataFrame:
-    """Per group and distinct score (descending): pos/neg counts and inclusive
-    cumulative counts ``cum_pos``/``cum_neg`` plus position ``rank``."""
-    per = df.groupBy(*group, p).agg(
-        F.sum(F.col(y).cast("long")).alias("pos"), F.count(F.lit(1)).alias("cnt")
-    ).withColumn("neg", F.col("cnt") - F.col("pos")).drop("cnt")
-    cum = prefix_sums(per, [F.col(p).desc()], {"pos": "pos", "neg": "neg"}, group_cols=group, pos="rank")
-    return cum
+    """The histogram by descending score with inclusive cumulative counts ``cum_pos`` and
+    ``cum_neg``, the position ``rank``, the next score's counts ``next_pos`` and
+    ``next_neg`` (NULL after the last) and the group's ``n_pos``, ``n_neg``, ``n_scores``.
+
+    Scores lie in ranges of (group, score), so one group's scores are many tasks. Each
+    group's part of a range sends one edge row (totals, first counts); windows over these
+    few rows give what lies before the part, the counts that follow it and the group's
+    totals, which come back as one more row at its head. Nothing is joined on the group.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [*(F.col(g) for g in group), F.col(p).desc()]
+    hist = score_histogram(df, group, y, p).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    hist = hist.select("*", F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().alias("__at"))
+    hist = cut_lineage(hist)  # read twice, with the same ranges
+    edges = hist.groupBy("__part", *group).agg(
+        F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.count(F.lit(1)).alias("rank"),
+        F.min_by(F.struct("pos", "neg"), "__at").alias("first"))
+    every = Window.partitionBy(*group)  # a row for each range that holds the group
+    ahead = every.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    head = edges.select(
+        "__part", *group, F.lit(None).cast(df.schema[p].dataType).alias(p), F.lit(-1).cast("long").alias("__at"),
+        *[F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(c) for c in ("pos", "neg", "rank")],
+        F.lead("first").over(every.orderBy("__part")).alias("after"),
+        F.struct(*[F.sum(c).over(every).alias(n) for c, n in (("pos", "n_pos"), ("neg", "n_neg"), ("rank", "n_scores"))]).alias("total"))
+    rows = hist.withColumn("rank", F.lit(1).cast("long")).unionByName(head, allowMissingColumns=True)
+    part = Window.partitionBy("__part", *group)
+    run = part.orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
+    after = F.coalesce(F.lead(F.struct("pos", "neg")).over(part.orderBy("__at")), F.first("after", ignorenulls=True).over(run))
+    total = F.first("total", ignorenulls=True).over(run)
+    out = rows.select("__at", *group, p, "pos", "neg", F.sum("pos").over(run).alias("cum_pos"), F.sum("neg").over(run).alias("cum_neg"),
+                      F.sum("rank").over(run).alias("rank"), after.alias("__after"), total.alias("__total"))
+    return out.where("__at >= 0").select(*group, p, "pos", "neg", "cum_pos", "cum_neg", "rank", F.col("__after.pos").alias("next_pos"),
+                                         F.col("__after.neg").alias("next_neg"), "__total.*")
+
+
+def _ranking_aggs() -> dict[str, F.Column]:
+    """E3 and E4 as aggregates of ``score_table`` (NULL for a single class)."""
+    n_pos, n_neg = F.max("n_pos"), F.max("n_neg")
+    ok = (n_pos > 0) & (n_neg > 0)
+    area = F.sum(F.col("neg") * (F.col("cum_pos") - F.col("pos") + F.col("pos") / 2.0))
+    steps = F.sum(F.col("pos") * _zdiv(F.col("cum_pos"), F.col("cum_pos") + F.col("cum_neg")))
+    return {"roc_auc": F.when(ok, area / (n_pos * n_neg)), "pr_auc": F.when(ok, steps / n_pos)}
 
 
 def ranking_metrics(df: DataFrame, group: list[str], y: str = "y", p: str = "p") -> DataFrame:
     """E3/E4 per group: ``roc_auc`` and ``pr_auc`` (NULL for a single class)."""
-    cum = score_table(df, group, y, p)
-    tot = df.groupBy(*group).agg(
-        F.sum(F.col(y).cast("long")).alias("n_pos"), (F.count(F.lit(1)) - F.sum(F.col(y).cast("long"))).alias("n_neg"))
-    j = cum.join(tot, group) if group else cum.crossJoin(tot)
-    tp_before = F.col("cum_pos") - F.col("pos")
-    prec = F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))
-    agg = j.groupBy(*group).agg(
-        F.sum(F.col("neg") * (tp_before + F.col("pos") / 2.0)).alias("__auc_num"),
-        F.sum(F.col("pos") * prec).alias("__ap_num"),
-        F.first("n_pos").alias("n_pos"), F.first("n_neg").alias("n_neg"),
-    )
-    ok = (F.col("n_pos") > 0) & (F.col("n_neg") > 0)
-    return agg.select(
-        *group,
-        F.when(ok, F.col("__auc_num") / (F.col("n_pos") * F.col("n_neg"))).alias("roc_auc"),
-        F.when(ok, F.col("__ap_num") / F.col("n_pos")).alias("pr_auc"),
-    )
+    return score_table(df, group, y, p).groupBy(*group).agg(*[c.alias(n) for n, c in _ranking_aggs().items()])
+
+
+def _two_classes(table: DataFrame) -> DataFrame:
+    return table.where("n_pos > 0 AND n_neg > 0")
+
+
+def _with_end(points: DataFrame, first: F.Column, **end: float | None) -> DataFrame:
+    """``points``, and before the row that ``first`` marks the constant point ``end``."""
+    own = [F.col(c).alias(c) for c in end]
+    extra = [F.lit(v).cast("double").alias(c) for c, v in end.items()]
+    both = F.when(first, F.array(F.struct(*extra), F.struct(*own))).otherwise(F.array(F.struct(*own)))
+    return points.withColumn("__points", both).drop(*end).select("*", F.inline("__points")).drop("__points")
 
 
 def roc_curve(df: DataFrame, group: list[str], y: str = "y", p: str = "p") -> DataFrame:
-    """E5: points ``(fpr, tpr, threshold)`` starting at (0, 0) (threshold NULL),
-    with collinear intermediate points dropped (second differences zero)."""
-    cum = score_table(df, group, y, p).select(*group, "rank", p, "cum_pos", "cum_neg")
-    n = cum.groupBy(*group).agg(F.max("rank").alias("m"), F.max("cum_pos").alias("n_pos"), F.max("cum_neg").alias("n_neg"))
-    prev = cum.select(*group, (F.col("rank") + 1).alias("rank"), F.col("cum_pos").alias("pp"), F.col("cum_neg").alias("pn"))
-    nxt = cum.select(*group, (F.col("rank") - 1).alias("rank"), F.col("cum_pos").alias("np"), F.col("cum_neg").alias("nn"))
-    j = cum.join(prev, group + ["rank"], "left").join(nxt, group + ["rank"], "left")
-    j = j.join(n, group) if group else j.crossJoin(F.broadcast(n))
-    d2p = F.col("np") - 2 * F.col("cum_pos") + F.col("pp")
-    d2n = F.col("nn") - 2 * F.col("cum_neg") + F.col("pn")
-    keep = (F.col("rank") == 1) | (F.col("rank") == F.col("m")) | (d2p != 0) | (d2n != 0)
-    pts = j.where(keep).select(
-        *group,
-        _zdiv(F.col("cum_neg").cast("double"), F.col("n_neg").cast("double")).alias("fpr"),
-        _zdiv(F.col("cum_pos").cast("double"), F.col("n_pos").cast("double")).alias("tpr"),
-        F.col(p).cast("double").alias("threshold"),
-    )
-    origin = n.select(*group, F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"), F.lit(None).cast("double").alias("threshold"))
-    return origin.unionByName(pts)
+    """E5: points ``(fpr, tpr, threshold)`` starting at (0, 0) (threshold NULL), with
+    collinear intermediate points dropped: those whose counts equal the next score's.
+    A group of a single class has no points."""
+    cum = _two_classes(score_table(df, group, y, p))
+    bent = (F.col("next_pos") != F.col("pos")) | (F.col("next_neg") != F.col("neg"))
+    points = cum.where((F.col("rank") == 1) | (F.col("rank") == F.col("n_scores")) | bent).select(
+        *group, "rank", (F.col("cum_neg") / F.col("n_neg")).alias("fpr"), (F.col("cum_pos") / F.col("n_pos")).alias("tpr"),
+        F.col(p).cast("double").alias("threshold"))
+    return _with_end(points, F.col("rank") == 1, fpr=0.0, tpr=0.0, threshold=None).drop("rank")
 
 
 def pr_curve(df: DataFrame, group: list[str], y: str = "y", p: str = "p") -> DataFrame:
-    """``(precision, recall, threshold)`` for every distinct threshold plus
-    the end point (precision 1, recall 0, threshold NULL)."""
-    cum = score_table(df, group, y, p)
-    tot = cum.groupBy(*group).agg(F.max("cum_pos").alias("n_pos"))
-    j = cum.join(tot, group) if group else cum.crossJoin(tot)
-    pts = j.select(
-        *group,
-        _zdiv(F.col("cum_pos").cast("double"), (F.col("cum_pos") + F.col("cum_neg")).cast("double")).alias("precision"),
-        F.when(F.col("n_pos") == 0, F.lit(1.0)).otherwise(F.col("cum_pos") / F.col("n_pos")).alias("recall"),
-        F.col(p).cast("double").alias("threshold"),
-    )
-    end = tot.select(*group, F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"),
-                     F.lit(None).cast("double").alias("threshold"))
-    return pts.unionByName(end)
+    """``(precision, recall, threshold)`` for every distinct threshold plus the end
+    point (precision 1, recall 0, threshold NULL). A group of a single class has no points."""
+    cum = _two_classes(score_table(df, group, y, p))
+    points = cum.select(*group, "rank", _zdiv(F.col("cum_pos"), F.col("cum_pos") + F.col("cum_neg")).alias("precision"),
+                        (F.col("cum_pos") / F.col("n_pos")).alias("recall"), F.col(p).cast("double").alias("threshold"))
+    return _with_end(points, F.col("rank") == 1, precision=1.0, recall=0.0, threshold=None).drop("rank")
 
 
 def evaluate(df: DataFrame, group: list[str], y: str = "y", p: str = "p", cut: float = 0.5) -> DataFrame:
-    """E1-E4 in one table per group (predictions at ``p >= cut``)."""
-    scored = df.withColumn("pred", (F.col(p) >= cut).cast("int"))
-    thr = threshold_metrics(confusion(scored, group, y, "pred"))
-    rank = ranking_metrics(df, group, y, p)
-    return thr.join(rank, group) if group else thr.crossJoin(rank)
+    """E1-E4 in one table per group (predictions at ``p >= cut``), from one scan of the rows."""
+    hit = F.col(p) >= cut
+    cells = {"tn": F.when(~hit, F.col("neg")), "fp": F.when(hit, F.col("neg")), "fn": F.when(~hit, F.col("pos")), "tp": F.when(hit, F.col("pos"))}
+    cm = score_table(df, group, y, p).groupBy(*group).agg(
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(n) for n, c in cells.items()], *[c.alias(n) for n, c in _ranking_aggs().items()])
+    thresholds = threshold_metrics(cm.drop("roc_auc", "pr_auc")).columns
+    return threshold_metrics(cm).select(*thresholds, "roc_auc", "pr_auc")
 
 
 def select_model(metrics: DataFrame, order_col: str = "candidate_order") -> DataFrame:

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import functools
 import math
+from collections.abc import Callable
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
@@ -184,22 +185,38 @@ def _bracketed(df: DataFrame, brackets: dict[int, tuple[Column, float, float]],
     cells = [F.when(c <= F.lit(hi), F.struct(F.lit(t).alias("__c"), F.when(c >= F.lit(lo), c).alias("__v"))) for t, (c, lo, hi) in brackets.items()]
     long = df.select(F.explode(F.filter(F.array(*cells), lambda x: x.isNotNull())).alias("__r")).select("__r.*")
     per = long.groupBy("__c", "__v").agg(F.count(F.lit(1)).alias("__k"))  # a NULL value: what lies below the bracket
+    return _picked(per, ranks)
+
+
+def _in_order(value) -> tuple:
+    """A sort key of collected values as Spark orders them: NULL first, NaN last, structs field by field."""
+    if isinstance(value, tuple):
+        return True, False, tuple(_in_order(v) for v in value)
+    nan = isinstance(value, float) and math.isnan(value)
+    return value is not None, nan, None if nan else value
+
+
+def _picked(per: DataFrame, ranks: dict[int, tuple[int, int]], times: dict[int, int] | None = None) -> dict[int, tuple]:
+    """From (target, value, count): the values at two ranks (from 0) of each target; a
+    target one of whose ranks falls on NULL or beyond the last value is left out.
+    ``times`` receives the count of the value at the second rank."""
+    times = {} if times is None else times
     rows = per.limit(HELD + 1).collect()
     if len(rows) > HELD:
-        picked = _selected(per, ranks)
+        picked = _selected(per, ranks, times)
     else:
         picked = {}
-        for r in sorted(rows, key=lambda r: (r["__c"], r["__v"] is not None, r["__v"] is not None and math.isnan(r["__v"]), r["__v"] or 0.0)):
+        for r in sorted(rows, key=lambda r: (r["__c"], _in_order(r["__v"]))):
             t, before = r["__c"], picked.get(r["__c"], (0, [None, None]))
             for x, rank in enumerate(ranks[t]):
                 if before[0] <= rank < before[0] + r["__k"]:
-                    before[1][x] = r["__v"]
+                    before[1][x], times[t] = r["__v"], r["__k"]
             picked[t] = before[0] + r["__k"], before[1]
         picked = {t: tuple(v) for t, (_n, v) in picked.items()}
     return {t: v for t, v in picked.items() if None not in v}
 
 
-def _selected(per: DataFrame, ranks: dict[int, tuple[int, int]]) -> dict[int, tuple[float, float]]:
+def _selected(per: DataFrame, ranks: dict[int, tuple[int, int]], times: dict[int, int]) -> dict[int, tuple]:
     """The same from a table (target, value, count) of any size: sorted by range,
     running counts only in the partitions that hold a wanted rank."""
     tagged = _sorted_tagged(per, [F.col("__c"), F.col("__v")], None)
@@ -218,13 +235,75 @@ def _selected(per: DataFrame, ranks: dict[int, tuple[int, int]]) -> dict[int, tu
     run_w = Window.partitionBy(_PID).orderBy(_IDX).rowsBetween(Window.unboundedPreceding, 0)
     rows = tagged.join(F.broadcast(holds), _PID).select("__c", "__v", "__k", (F.col("__ps") + F.sum("__k").over(run_w)).alias("__e"))
     hit = rows.join(F.broadcast(goal), (F.col("__c") == F.col("__t")) & (F.col("__g") > F.col("__e") - F.col("__k")) & (F.col("__g") <= F.col("__e")))
-    out: dict[int, list[float | None]] = {t: [None, None] for t in ranks}
-    for r in hit.select("__t", "__x", "__v").collect():  # two rows a target
-        out[r["__t"]][r["__x"]] = r["__v"]
+    out: dict[int, list] = {t: [None, None] for t in ranks}
+    for r in hit.select("__t", "__x", "__v", "__k").orderBy("__t", "__x").collect():  # two rows a target
+        out[r["__t"]][r["__x"]], times[r["__t"]] = r["__v"], r["__k"]
     tagged.unpersist()
     return {t: tuple(v) for t, v in out.items()}
 
 
+CUT_MARGIN = 6.0 / ACCURACY
+
+
+def sort_long(df: DataFrame, name: str) -> Column | None:
+    """A long that orders rows as the column does (ties aside), or None if its type gives none."""
+    kind, c = df.select(F.col(f"`{name}`")).dtypes[0][1], F.col(f"`{name}`")
+    if kind == "timestamp":
+        return F.unix_micros(c)
+    if kind == "date":
+        return F.unix_date(c).cast("long")
+    return c.cast("long") if kind in ("tinyint", "smallint", "int", "bigint") else None
+
+
+def cut_values(df: DataFrame, group: Column, lead: Column | None, order: Column,
+               cuts: Callable[[int], list[int]], shares: list[float], most: int,
+               ties: Column | None = None) -> tuple[list[tuple], Column] | None:
+    """[(group value, [the ``order`` value of the row at each cut, None for cut 0])] for
+    the positions (from 1) that ``cuts`` names for a group of n rows, and the order that
+    these values belong to: ``order``, or ``order`` and ``ties`` where other rows equal
+    the one at a cut. None if there are more than ``most`` groups.
+
+    Distributed selection on the order alone. ``lead``, a long that never falls along
+    ``order``, is sketched per group (one aggregation); a cut lies near ``shares`` of
+    the group, so the sketch brackets it. One counting pass then gives the order values
+    inside the brackets, a thousandth of the rows, and how many lie below. A bracket
+    that misses its cut is widened to the whole group; without a lead all are.
+    """
+    low = F.lit(-(1 << 63)).cast("long")
+    keyed = df.select(group.alias("__g"), (low if lead is None else F.coalesce(lead, low)).alias("__l"), order.alias("__o"))
+    asked = sorted({min(1.0, max(0.0, s + m)) for s in shares for m in (-CUT_MARGIN, CUT_MARGIN)})
+    fit = keyed.groupBy("__g").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("__l", asked, ACCURACY).alias("q")).limit(most + 1).collect()
+    if len(fit) > most:
+        return None
+    wanted = {}  # target: (group's row, bracket or None, rank from 0)
+    for g in fit:
+        at = dict(zip(asked, g["q"], strict=True))
+        for j, (pos, s) in enumerate(zip(cuts(g["n"]), shares, strict=True)):
+            if pos > 0:
+                ends = at[max(0.0, s - CUT_MARGIN)], at[min(1.0, s + CUT_MARGIN)]
+                wanted[fit.index(g) * len(shares) + j] = g, ends if lead is not None and g["n"] > ACCURACY else None, pos - 1
+    found: dict[int, tuple] = {}
+    times: dict[int, int] = {}
+    for whole in (False, True):
+        cells = []
+        for t, (g, ends, _rank) in wanted.items():
+            if t in found:
+                continue
+            own, value = F.col("__g").eqNullSafe(F.lit(g["__g"])), F.col("__o")
+            if ends and not whole:
+                own, value = own & (F.col("__l") <= ends[1]), F.when(F.col("__l") >= ends[0], value)
+            cells.append(F.when(own, F.struct(F.lit(t).alias("__c"), value.alias("__v"))))
+        if not cells:
+            break
+        long = keyed.select(F.explode(F.filter(F.array(*cells), lambda x: x.isNotNull())).alias("__r")).select("__r.*")
+        per = long.groupBy("__c", "__v").agg(F.count(F.lit(1)).alias("__k"))
+        found |= _picked(per, {t: (rank, rank) for t, (_g, _ends, rank) in wanted.items() if t not in found}, times)
+    if ties is not None and any(times[t] > 1 for t in found):
+        return cut_values(df, group, lead, F.struct(order.alias("__o"), ties.alias("__h")), cuts, shares, most)
+    keys = [[found.get(i * len(shares) + j, (None,))[0] for j in range(len(shares))] for i in range(len(fit))]
+    return [(g["__g"], k) for g, k in zip(fit, keys, strict=True)], order
+
+
 def fitted_row(df: DataFrame) -> DataFrame:
     """Run a one-row fit (thresholds, median, fences) now and return it as a
     local one-row frame. Plans that apply it stay small instead of carrying
