@@ -127,10 +127,12 @@ def test_near_duplicates_equal_brute_force(spark, docs, size):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, r in got.items() if r["kept"])
 
 
-@pytest.mark.parametrize("with_base", [True, False])
-def test_near_copies_not_linked_to_a_hub_equal_brute_force(spark, with_base):
+@pytest.mark.parametrize(("with_base", "deal"), [(True, 2000), (False, 2000), (True, 20)])
+def test_near_copies_not_linked_to_a_hub_equal_brute_force(spark, monkeypatch, with_base, deal):
+    """With one task for all of a hub's classes, and with eleven."""
     import random
 
+    monkeypatch.setattr(near_duplicates, "DEAL", deal)
     rng, base = random.Random(7), [f"g{i}" for i in range(150)]
     rows = [(0, " ".join(base))] if with_base else []
     for k in range(1, 220):  # one to fourteen changes, a third of them shared by some; some cut short

@@ -54,7 +54,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from upkeep.llm.components import components
-from upkeep.llm.storage import check_columns, handed_back, small_batches, written
+from upkeep.llm.storage import check_columns, handed_back, small_batches, unsorted_buckets, written
 from upkeep.llm.words import mix, runs, windows
 
 SKETCH = 64
@@ -125,7 +125,7 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: i
     possible. ``a`` may occur in very many pairs: they are dealt out over as
     many copies of its set as keep a task at ``DEAL`` pairs. ``around``: all pairs
     down to ``_reach`` and, for those, n (size of b), both (size of the
-    intersection) and gained (shingles of b that a lacks)."""
+    intersection), gained (shingles of b that a lacks) and the deal (of deals)."""
     least = _reach(percent) if around else percent
     one = classes.select(F.col("doc").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
     two = classes.select(F.col("doc").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
@@ -137,11 +137,11 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: i
            .select("a", "t_a", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal")))
     two = sets.select(F.col("doc").alias("b"), F.col("shingles").alias("t_b"))
     both = F.size(F.array_intersect("t_a", "t_b")).cast("long")
-    common = near.join(two, "b").join(one, ["a", "deal"]).select("a", "b", "n_a", "n_b", both.alias("both"), *(["t_a", "t_b"] if around else []))
+    common = near.join(two, "b").join(one, ["a", "deal"]).select("a", "b", "n_a", "n_b", both.alias("both"), *(["t_a", "t_b", "deal", "deals"] if around else []))
     union = F.col("n_a") + F.col("n_b") - F.col("both")
     out = ["a", "b", (F.col("both") * 100 >= union * percent).alias("linked"), (F.col("both") / union).alias("similarity")]
     if around:
-        out += [F.col("n_b").alias("n"), "both", F.when(F.col("both") * 100 >= union * least, F.array_except("t_b", "t_a")).alias("gained")]
+        out += [F.col("n_b").alias("n"), "both", F.when(F.col("both") * 100 >= union * least, F.array_except("t_b", "t_a")).alias("gained"), "deal", "deals"]
     return written(common.select(*out), "links")
 
 
@@ -167,8 +167,9 @@ def link_classes(classes: DataFrame, docs: DataFrame, size: int, percent: int) -
     classes = written(classes.join(involved, "doc", "left_semi"), "classes")
     # full sets of the classes in lists, bucketed: no comparison shuffles them again
     table = f"near_sets_{uuid.uuid4().hex}"
-    texts = docs.join(involved.withColumnRenamed("doc", "doc_id"), "doc_id", "left_semi").select("doc_id", "text")
-    with small_batches(spark):
+    # texts are dealt by id, as the buckets are: a bucket is one file, not one a task
+    texts = docs.join(involved.withColumnRenamed("doc", "doc_id").hint("shuffle_hash"), "doc_id", "left_semi").select("doc_id", "text")
+    with small_batches(spark), unsorted_buckets(spark):
         full_sets(texts, size).write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc").format("parquet").saveAsTable(table)
     try:
         found = list(_rounds(lists, classes, spark.table(table), percent))
@@ -218,11 +219,14 @@ def _related(judged: DataFrame) -> DataFrame:
     than half of these classes have besides, how many shingles of R the class has,
     and its shingles outside R. ``extra`` is the number of shingles that R adds."""
     within = judged.where("gained IS NOT NULL")
-    sizes = within.groupBy("a").agg(F.count("*").alias("members"), F.count_if(~F.col("linked")).alias("near")).where("near > 0")
-    within = within.join(sizes, "a")
+    # a hub of very many classes: they stay in the deals in which they were compared
+    sizes = within.groupBy("a").agg(F.count("*").alias("members"), F.count_if(~F.col("linked")).alias("near"), F.max("deals").alias("parts")).where("near > 0")
+    part = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("deal")
+    within = within.join(sizes.select("a", "members", "near", part), ["a", "deal"])
     common = within.select("a", "members", F.explode("gained").alias("e")).groupBy("a", "members", "e").count().where("2 * count > members")
     added = common.groupBy("a").agg(F.collect_list("e").alias("added"))
-    within = within.join(added, "a", "left").withColumn("added", F.coalesce("added", F.array().cast("array<long>")))
+    added = sizes.join(added, "a", "left").select("a", F.coalesce("added", F.array().cast("array<long>")).alias("added"), part)
+    within = within.join(added, ["a", "deal"])
     return written(within.select(
         F.col("a").alias("hub"), F.col("b").alias("doc"), "linked", "n", "members", "near", F.size("added").alias("extra"),
         (F.col("both") + F.size(F.array_intersect("gained", "added"))).alias("inside"), F.array_except("gained", "added").alias("outside")), "related")

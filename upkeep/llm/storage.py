@@ -49,18 +49,28 @@ def mounted(path: str) -> str:
 
 
 @contextlib.contextmanager
-def small_batches(spark: SparkSession, size: str = "4m") -> Iterator[None]:
-    """Arrow batches of about ``size`` bytes to Python workers, for steps that run at
-    once inside: an executor holds a batch twice, and the worker its arrays besides."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A session setting for steps that run at once inside."""
     before = spark.conf.get(name)
-    spark.conf.set(name, size)
+    spark.conf.set(name, value)
     try:
         yield
     finally:
         spark.conf.set(name, before)
 
 
+def small_batches(spark: SparkSession, size: str = "4m") -> contextlib.AbstractContextManager[None]:
+    """Arrow batches of about ``size`` bytes to Python workers: an executor holds a
+    batch twice, and the worker its arrays besides."""
+    return setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
+def unsorted_buckets(spark: SparkSession, open_files: int = 64) -> contextlib.AbstractContextManager[None]:
+    """Bucketed writes without a sort of the rows: a task keeps up to ``open_files``
+    buckets open (beyond that it sorts). For rows that already lie by bucket."""
+    return setting(spark, "spark.sql.maxConcurrentOutputFileWriters", str(open_files))
+
+
 def check_columns(df: DataFrame, *names: str) -> None:
     missing = [n for n in names if n not in df.columns]
     if missing:
