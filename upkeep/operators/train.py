@@ -49,7 +49,12 @@ SEARCH_SPACE = {
 }
 # Execution settings for deep trees (no effect on the fitted model): more
 # nodes split per pass over the data and cached node ids between passes.
-TREE_ENGINE = {"maxMemoryInMB": 1024, "cacheNodeIds": True, "checkpointInterval": 10}
+TREE_ENGINE = {"maxMemoryInMB": 256, "cacheNodeIds": True, "checkpointInterval": 10}
+# Each pass of a tree fit builds the statistics of all its nodes once per
+# partition, so rows go into few partitions: small ones up to FIT_PARTITIONS of
+# them, then larger ones, up to LARGE_PARTITION rows (a row of the forest holds
+# two numbers a tree).
+SMALL_PARTITION, FIT_PARTITIONS, LARGE_PARTITION = 1 << 14, 16, 1 << 17
 CANDIDATES = ["logistic_regression", "decision_tree", "random_forest", "xgboost"]
 
 
@@ -155,18 +160,32 @@ def estimator(name: str, weighted: bool = True, overrides: dict | None = None, n
     raise ValueError(f"unknown model {name}")
 
 
+def fit_partitions(n_rows: int) -> int:
+    return max(1, min(-(-n_rows // SMALL_PARTITION), FIT_PARTITIONS), -(-n_rows // LARGE_PARTITION))
+
+
+def dealt(train: DataFrame) -> DataFrame:
+    """The rows of a fit, dealt and ordered by their values: bootstrap samples
+    depend on both, and so not on the session's shuffle partitions."""
+    return train.repartition(fit_partitions(train.count()), *train.columns).sortWithinPartitions(*train.columns)
+
+
 def fit(prep: Prepared, name: str, weighted: bool = True, overrides: dict | None = None,
         train: DataFrame | None = None) -> PipelineModel:
-    train = prep.part("train") if train is None else train
+    train = dealt(prep.part("train") if train is None else train).persist(StorageLevel.MEMORY_AND_DISK)
     n_w = train.agg(F.sum("weight")).first()[0] if name == "logistic_regression" and weighted else (
         train.count() if name == "logistic_regression" else None)
     asm = VectorAssembler(inputCols=prep.feature_columns, outputCol="features", handleInvalid="keep")
     est = estimator(name, weighted, overrides, n_w).setLabelCol("label").setFeaturesCol("features")
-    return Pipeline(stages=[asm, est]).fit(train)
+    try:
+        return Pipeline(stages=[asm, est]).fit(train)
+    finally:
+        train.unpersist()
 
 
 def probabilities(model: PipelineModel, df: DataFrame, keep: list[str]) -> DataFrame:
-    out = model.transform(df)
+    # Spark ML sends the whole model with every task
+    out = model.transform(df.repartition(fit_partitions(df.count())))
     return out.select(*keep, vector_to_array("probability")[1].alias("p"))
 
 
@@ -176,6 +195,7 @@ def test_metrics(prep: Prepared, models: dict[str, PipelineModel], part: str = "
     for i, (name, m) in enumerate(models.items()):
         p = probabilities(m, prep.part(part), ["label"]).select(
             F.lit(name).alias("model"), F.lit(i).alias("candidate_order"), F.col("label").alias("y"), "p")
+        p = cut_lineage(p)  # the metrics pass over the scores more than once
         rows = p if rows is None else rows.unionByName(p)
     return E.evaluate(rows, ["model", "candidate_order"], "y", "p")
 
