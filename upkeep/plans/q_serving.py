@@ -27,6 +27,7 @@ from upkeep.plans.serving_data import (
     scored,
 )
 from upkeep.schema import FIELD_DICTIONARY, HIGH, PEER_FIELDS, PEER_NUMERIC, WATCH
+from upkeep.session import cut_lineage
 from upkeep.sources.testdata import asset_snapshot
 
 
@@ -157,8 +158,8 @@ UNION ALL SELECT 'prediction_explanations', count_if(g), count_if(NOT g) FROM (
                f"(model_version_id IN (SELECT id FROM model_versions WHERE dataset_id = '{_DEL}')) AS gone "
                f"FROM predictions")]))
 def cascade_delete(spark, d):
-    res = A.cascade_delete(_DEL, machines(spark, d), model_versions(spark, d), predictions(spark, d),
-                           explanations(spark, d), alerts(spark, d))
+    # stored tables, as in the registry: each is built once, not again in every task that joins it
+    res = A.cascade_delete(_DEL, *[cut_lineage(t(spark, d)) for t in (machines, model_versions, predictions, explanations, alerts)])
     out = None
     for name, (gone, kept) in res.items():
         row = gone.agg(F.count(F.lit(1)).alias("n_deleted")).crossJoin(kept.agg(F.count(F.lit(1)).alias("n_remaining")))
@@ -232,7 +233,7 @@ FROM alerts a LEFT JOIN (SELECT alert_id, arg_max(new_status, (changed_at, new_s
             "WHERE status = 'New' AND machine_id % 3 <> 2 UNION ALL SELECT id, 'Closed', created_at + INTERVAL 5 DAY "
             "FROM alerts WHERE status = 'New' AND machine_id % 3 = 1")]))
 def alert_status_update(spark, d):
-    al = alerts(spark, d)
+    al = cut_lineage(alerts(spark, d))  # a stored table: built once, not again for each kind of change
     return A.apply_status_changes(al, _changes(al)).select("id", "status", "acknowledged_at", "closed_at")
 
 
