@@ -1,6 +1,9 @@
 """Distributed positions / prefix sums against single-task windows, and tree
 attributions against brute force."""
 
+import time
+from math import factorial
+
 import forest_brute as BRUTE
 import numpy as np
 import pytest
@@ -175,3 +178,52 @@ def test_missed_bracket_is_widened(spark, monkeypatch):
     monkeypatch.setattr(P, "_bracketed", first_misses)
     assert P.exact_quantiles(df, "x", [0.7], ["q"]).first()["q"] == pytest.approx(699.3)
     assert len(seen) == 3 and seen[0][0][0] > seen[1][0][0] > seen[2][0][0]
+
+
+def _pairwise_leaf_shap(xs, background, value, feature, low, high):
+    out = np.zeros(xs.shape)
+    for v, f, a, b in zip(value, feature, low, high, strict=True):
+        used = np.isfinite(a) | np.isfinite(b)
+        for i, x in enumerate(xs):
+            for z in background:
+                x_off, z_off = ({int(j) for j in f[used & ~((a < r[f]) & (r[f] <= b))]} for r in (x, z))
+                if not x_off & z_off:
+                    p, q = len(z_off), len(x_off)
+                    for j in z_off:
+                        out[i, j] += v * factorial(p - 1) * factorial(q) / factorial(p + q)
+                    for j in x_off:
+                        out[i, j] -= v * factorial(p) * factorial(q - 1) / factorial(p + q)
+    return out / len(background)
+
+
+@pytest.mark.parametrize("width, direct, cells", [(5, 20, 1 << 21), (5, 2, 7), (24, 20, 1 << 21), (40, 20, 5)])
+def test_leaf_shap_matches_every_pair(monkeypatch, width, direct, cells):
+    """Ties with the ends, paths of one to ``width`` places, wide patterns, small steps."""
+    monkeypatch.setattr(ATT, "DIRECT", direct)
+    monkeypatch.setattr(ATT, "CELLS", cells)
+    rng = np.random.default_rng(8)
+    k = max(8, width)
+    xs, z = rng.integers(0, 8, (30, k)) / 8, rng.integers(0, 8, (9, k)) / 8
+    feature = np.array([rng.permutation(k)[:width] for _ in range(20)])
+    low, high = np.full(feature.shape, -np.inf), np.full(feature.shape, np.inf)
+    below, above = rng.random(low.shape) < 0.3, rng.random(low.shape) < 0.3
+    low[below], high[above] = rng.integers(0, 4, below.sum()) / 8, rng.integers(4, 8, above.sum()) / 8
+    value = rng.random(20)
+    got = ATT.leaf_shap(xs, z, value, feature, low, high)
+    assert np.abs(got - _pairwise_leaf_shap(xs, z, value, feature, low, high)).max() < 1e-12
+    assert np.abs(got).max() > 0
+
+
+def test_leaf_shap_work_follows_the_distinct_patterns():
+    """Many rows and background rows of two patterns: time must not follow their pairs."""
+    rng = np.random.default_rng(9)
+    xs, z = rng.random((1 << 14, 2)), rng.random((ATT.MAX_BACKGROUND, 2))
+    place = np.zeros(1 << 1, np.int32)
+    patterns, number = ATT._distinct(ATT._bits((xs > 0.5).astype(np.uint16).T, *np.array([[0], [0], [0]])), 1, place)
+    assert sorted(patterns.tolist()) == [0, 1] and (patterns[number] == (xs[:, 0] > 0.5)).all()
+    feature, low, high = np.zeros((50, 1), int), np.full((50, 1), -np.inf), np.full((50, 1), 0.5)
+    start = time.process_time()
+    got = ATT.leaf_shap(xs, z, np.ones(50), feature, low, high)
+    took = time.process_time() - start
+    assert np.abs(got[:, 0] - 50 * ((xs[:, 0] <= 0.5) - (z[:, 0] <= 0.5).mean())).max() < 1e-9
+    assert took < 3  # by pairs of rows: 63 s
