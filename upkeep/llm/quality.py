@@ -153,9 +153,11 @@ def sample_of(docs: DataFrame, grades: DataFrame, sample: int, id_col: str, text
 
     joined = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
     joined = joined.groupBy("id", "grade").agg(F.min("text").alias("text"))
-    found = joined.select("id", "grade", "text").mapInArrow(run, "id long, grade int, features array<int>").toPandas()
-    found = found.sort_values("id", kind="stable")  # rows arrive in any order: the fit must not depend on it
-    return [np.asarray(f) for f in found["features"]], found["grade"].to_numpy(np.int64)
+    found = joined.select("id", "grade", "text").mapInArrow(run, "id long, grade int, features array<int>").toArrow().combine_chunks()
+    order = np.argsort(found["id"].to_numpy(), kind="stable")  # rows arrive in any order: the fit must not depend on it
+    lists = pa.concat_arrays(found["features"].chunks) if found.num_rows else pa.array([], pa.list_(pa.int32()))
+    flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()  # no Python object a feature
+    return [flat[ends[i]:ends[i + 1]] for i in order], found["grade"].to_numpy().astype(np.int64)[order]
 
 
 def fit(features: list[np.ndarray], grades: np.ndarray, n_grades: int, rounds: int | None = None, rate: float = 0.3, l1: float = 5e-4) -> Model:
@@ -166,15 +168,16 @@ def fit(features: list[np.ndarray], grades: np.ndarray, n_grades: int, rounds: i
     if not len(grades):
         return Model(even, np.zeros(0, np.int64), np.zeros(0))
     lengths = np.array([len(f) for f in features])
-    flat = np.concatenate(features).astype(np.int64)
+    flat = np.concatenate(features)
     frequency = np.bincount(flat, minlength=1 << BITS)
     least = min(LEAST, max(2, round(SHARE * len(grades))))
     used = np.flatnonzero((frequency >= least) & (frequency < len(grades)))
-    number = np.full(1 << BITS, -1)
+    number = np.full(1 << BITS, -1, np.int32)
     number[used] = np.arange(len(used))
-    doc = np.repeat(np.arange(len(grades)), lengths)
     column = number[flat]
-    doc, column = doc[column >= 0], column[column >= 0]
+    del flat
+    doc = np.repeat(np.arange(len(grades), dtype=np.int32), lengths)[column >= 0].astype(np.int64)
+    column = column[column >= 0].astype(np.int64)
 
     below = np.cumsum(np.bincount(grades, minlength=n_grades))[:-1] / len(grades)
     start = np.log(np.clip(below, 1e-3, 1 - 1e-3) / (1 - np.clip(below, 1e-3, 1 - 1e-3)))
