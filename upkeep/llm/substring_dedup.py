@@ -266,7 +266,8 @@ def _stripped(docs: DataFrame, length: int, id_col: str, text_col: str) -> DataF
     spans = repeated_spans(rows.select("uid", "doc_id", "text"), length)
     spans = written(spans.groupBy("uid").agg(F.collect_list(F.struct("at", "words")).alias("spans")), "spans")
     release(docs.sparkSession)
-    keep = F.arrow_udf(_keep, "n_words long, n_removed long, kept_sha256 string, kept string")
+    # else a condition on its result has Spark run it a second time, in a second worker beside the first
+    keep = F.arrow_udf(_keep, "n_words long, n_removed long, kept_sha256 string, kept string").asNondeterministic()
     return rows.join(spans, "uid", "left").select("doc_id", "row", keep("text", "spans").alias("found"))
 
 
