@@ -52,6 +52,8 @@ SEARCH_SPACE = {
 # Execution settings for deep trees (no effect on the fitted model): more
 # nodes split per pass over the data and cached node ids between passes.
 TREE_ENGINE = {"maxMemoryInMB": 256, "cacheNodeIds": True, "checkpointInterval": 10}
+# The trees of boosting are shallow: walking them costs less than storing node ids at every level.
+BOOSTED_ENGINE = {**TREE_ENGINE, "cacheNodeIds": False}
 # Each pass of a tree fit builds the statistics of all its nodes once per
 # partition, so rows go into few partitions: small ones up to FIT_PARTITIONS of
 # them, then larger ones, up to LARGE_PARTITION rows (a row of the forest holds
@@ -161,7 +163,7 @@ def estimator(name: str, weighted: bool = True, overrides: dict | None = None, n
                              stepSize=o.get("stepSize", BOOSTED["step"]),
                              subsamplingRate=o.get("subsamplingRate", BOOSTED["subsample"]),
                              featureSubsetStrategy=str(o.get("featureSubsetStrategy", BOOSTED["colsample"])),
-                             minInstancesPerNode=int(o.get("minInstancesPerNode", 1)), seed=SEED, **TREE_ENGINE, **w)
+                             minInstancesPerNode=int(o.get("minInstancesPerNode", 1)), seed=SEED, **BOOSTED_ENGINE, **w)
     raise ValueError(f"unknown model {name}")
 
 

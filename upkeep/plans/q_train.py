@@ -7,6 +7,11 @@ of one run share fits instead of refitting the same model.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from upkeep.functions.columns import r6
@@ -49,6 +54,13 @@ def model(spark, d, name, weighted=True, split="stratified", groups=None):
                  lambda: T.fit(prepared(spark, d, split, groups), name, weighted))
 
 
+def _together(*jobs: Callable) -> list:
+    """What independent jobs return, in order. They run at once: a fit is a row of
+    thousands of small Spark jobs, which alone leave most cores idle."""
+    with ThreadPoolExecutor(max_workers=len(jobs)) as pool:
+        return [f.result() for f in [pool.submit(j) for j in jobs]]
+
+
 def _metrics_rows(df):
     return df.select("model", *[r6(F.col(c)).alias(c) for c in _METRIC_COLS[1:]])
 
@@ -100,20 +112,21 @@ def train_gbt(spark, d):
 @query("train_all")
 def train_all(spark, d):
     p = prepared(spark, d)
-    models = {n: model(spark, d, n) for n in T.CANDIDATES}
-    return E.comparison(T.test_metrics(p, models))
+    # the longest fits first
+    fitted = dict(_together(*(lambda n=n: (n, model(spark, d, n)) for n in reversed(T.CANDIDATES))))
+    return E.comparison(T.test_metrics(p, {n: fitted[n] for n in T.CANDIDATES}))
 
 
 # ------------------------------------------------------------------ T9-T11
 @query("ablation_groups")
 def ablation_groups(spark, d):
-    out = None
-    for label, groups in [("raw", ["raw"]), ("temporal", ["temporal"]), ("raw+temporal", ["raw", "temporal"])]:
+    def one(label, groups):
         p = prepared(spark, d, groups=groups)
         m = model(spark, d, "random_forest", groups=groups)
-        row = _metrics_rows(T.test_metrics(p, {"random_forest": m})).withColumn("feature_group", F.lit(label))
-        out = row if out is None else out.unionByName(row)
-    return out
+        return _metrics_rows(T.test_metrics(p, {"random_forest": m})).withColumn("feature_group", F.lit(label))
+
+    variants = [("raw", ["raw"]), ("temporal", ["temporal"]), ("raw+temporal", ["raw", "temporal"])]
+    return reduce(DataFrame.unionByName, _together(*(lambda v=v: one(*v) for v in variants)))
 
 
 def _balance(p):
@@ -122,27 +135,27 @@ def _balance(p):
 
 @query("ablation_split")
 def ablation_split(spark, d):
-    out = None
-    for split in ("stratified", "holdout"):
+    def one(split):
         p = prepared(spark, d, split)
         m = model(spark, d, "xgboost", split=split)
         test_rate = _balance(p).where(F.col("split") == "test").select(F.round("positive_rate", 6).alias("test_positive_rate"))
         row = _metrics_rows(T.test_metrics(p, {"xgboost": m})).withColumn("validation_strategy", F.lit(split))
-        row = row.crossJoin(test_rate)
-        out = row if out is None else out.unionByName(row)
-    return out
+        return row.crossJoin(test_rate)
+
+    return reduce(DataFrame.unionByName, _together(*(lambda s=s: one(s) for s in ("stratified", "holdout"))))
 
 
 @query("ablation_imbalance")
 def ablation_imbalance(spark, d):
     p = prepared(spark, d)
-    out = None
-    for name in ("random_forest", "xgboost"):
-        for weighted in (True, False):
-            m = model(spark, d, name, weighted)
-            row = _metrics_rows(T.test_metrics(p, {name: m})).withColumn("class_weighting", F.lit(weighted))
-            out = row if out is None else out.unionByName(row)
-    return out
+
+    def one(name, weighted):
+        m = model(spark, d, name, weighted)
+        return _metrics_rows(T.test_metrics(p, {name: m})).withColumn("class_weighting", F.lit(weighted))
+
+    # the longest fits first
+    *boosted, f1, f2 = _together(*(lambda n=n, w=w: one(n, w) for n in ("xgboost", "random_forest") for w in (True, False)))
+    return reduce(DataFrame.unionByName, [f1, f2, *boosted])
 
 
 # ------------------------------------------------------------------ T12
