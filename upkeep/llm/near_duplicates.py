@@ -106,13 +106,16 @@ def full_sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, "doc long, shingles array<long>")
 
 
+def _sizes(na: str, nb: str, percent: int) -> Column:
+    return F.least(na, nb) * 100 >= F.greatest(na, nb) * percent
+
+
 def _may_link(a: str, b: str, na: str, nb: str, percent: int) -> Column:
     """Whether sizes and the union's sketch leave a similarity of ``percent`` possible."""
-    sizes = F.least(na, nb) * 100 >= F.greatest(na, nb) * percent
-    union = f"slice(array_sort(array_union({a}, {b})), 1, {SKETCH})"
+    union = f"slice(sort_array(array_union({a}, {b})), 1, {SKETCH})"  # array_sort calls its comparator for every two values
     both = f"array_intersect({a}, {b})"
     estimate = F.expr(f"size(array_intersect({union}, {both})) / size({union})")
-    return sizes & (estimate >= percent / 100 - SLACK)
+    return _sizes(na, nb, percent) & (estimate >= percent / 100 - SLACK)
 
 
 def _reach(percent: int) -> int:
@@ -277,7 +280,8 @@ def _compared(lists: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
     apart = F.expr("a < b AND (turn_a <> turn_b OR hub_a <> hub_b)")
     first = F.expr("v_a = array_min(array_intersect(values_a, values_b))")
-    on = (F.col("v_a") == F.col("v_b")) & apart & first & _may_link("s_a", "s_b", "n_a", "n_b", percent)
+    # the cheap tests first
+    on = (F.col("v_a") == F.col("v_b")) & apart & _sizes("n_a", "n_b", percent) & first & _may_link("s_a", "s_b", "n_a", "n_b", percent)
     return side("a").join(side("b"), on).select("a", "b")
 
 
